@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from kvlake.llm import quality, simhash
+from kvlake.llm import html, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
+    "op3_toxicity": toxicity.query,
     "op4_quality_classifier": quality.query,
+    "op5_html_extraction": html.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
