@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from kvlake.llm import html, quality, simhash, toxicity
+from kvlake.llm import html, mixing, pieces, pii, quality, simhash, toxicity
 
 QUERIES = {
     "op1_simhash_near_dedup": simhash.query,
+    "op2_sentencepiece": pieces.query,
     "op3_toxicity": toxicity.query,
     "op4_quality_classifier": quality.query,
     "op5_html_extraction": html.query,
+    "op7_source_mixing": mixing.query,
+    "op10_pii": pii.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_source_mixing": mixing.ORACLE}
