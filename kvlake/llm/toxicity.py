@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from kvlake.llm.common import id_crc, labelled_sample, slices, table, utf8
 
-TRAIN_ROWS, TRAIN_CHARS, THRESHOLD = 6000, 20_000, 0.5
+TRAIN_ROWS, TRAIN_CHARS, THRESHOLD = 4000, 20_000, 0.5
 HELD_OUT = 0  # remainder of crc32 mod 5
 SIZES, BITS, GAIN, DIM, MIN_DOCS = (3, 4, 5, 6), 18, 60.0, 8, 30
 
