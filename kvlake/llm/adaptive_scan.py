@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from kvlake.llm import vectors as V
 from kvlake.llm.common import checkpoint, table
 
-K, EVERY, LISTS, PROBES, COLUMNS, EPS = 20, 20, 64, 40, 13, 2.1
+K, EVERY, LISTS, PROBES, COLUMNS, EPS = 20, 20, 64, 48, 13, 2.1
 
 
 def rotation(n: int, seed: int = 9) -> np.ndarray:
