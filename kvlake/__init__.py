@@ -1,0 +1 @@
+"""A versioned, ordered key-value store as Spark queries over a log of mutations."""
