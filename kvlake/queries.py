@@ -7,11 +7,17 @@ half of it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from kvlake.functions import bloom
 from kvlake.functions.keys import padded, reverse_bytewise
 from kvlake.operators import compact, files as fs, histogram, manifest, merge, mutate, read
+from kvlake.plans.scratch import shared_folder
+from kvlake.plans.store import Store
+from kvlake.sources import sstable, wal
+from kvlake.streaming import ingest
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -428,8 +434,6 @@ def read_seq(spark, d):
 @_register("read_reverse", "SELECT *, CAST(row_number() OVER (ORDER BY key DESC) AS INTEGER) AS place FROM v ORDER BY key DESC LIMIT 100")
 def read_reverse(spark, d):
     m = mutations(spark, d)
-    from pyspark.sql import Window as W
-
     return read.scan(m, snapshot=_half(m), reverse=True, limit=100).withColumn("place", F.row_number().over(W.orderBy(F.desc("key"))))
 
 
@@ -482,3 +486,50 @@ def bloom_membership(spark, d):
     tried = m.select("run_id", "key").distinct().join(filters, "run_id").withColumn("hit", bloom.probe(F.col("key"), F.col("filter")))
     size = F.max(F.length("filter") <= F.col("n_keys") * 10 / 8 + 40)
     return tried.groupBy("run_id").agg(F.count("*").alias("n_keys"), F.sum(F.col("hit").cast("long")).alias("n_found"), size.alias("small_enough"))
+
+
+@_register("wal_roundtrip", "SELECT key, seq, op, value FROM m")
+def wal_roundtrip(spark, d):
+    """All mutations written as checksummed logs of batches, and decoded again."""
+    def decode(batches):
+        for batch in batches:
+            for data in batch.column("content"):
+                yield from wal.in_batches(wal.log_rows("", data.as_py()), wal.ARROW)
+
+    rows = wal.replay(wal.as_logs(mutations(spark, d)).select("content").mapInArrow(decode, wal.SCHEMA))
+    return rows.select(F.col("key").cast("string").alias("key"), "seq", F.col("op").cast("int").alias("op"), F.col("value").cast("string").alias("value"))
+
+
+@_register("sstable_scan", "SELECT key, seq, op, value FROM m WHERE key >= '0000000000000003' AND key < '0000000000000012'")
+def sstable_scan(spark, d):
+    """All mutations written as sorted tables, and a key range of them read back by index blocks."""
+    def decode(batches):
+        for batch in batches:
+            for data in batch.column("content"):
+                rows = ({"file": "", "key": k, "seq": s, "op": o, "value": v} for k, s, o, v in sstable.table_rows(data.as_py(), True, b"0000000000000003", b"0000000000000012"))
+                yield from wal.in_batches(rows, sstable.ARROW)
+
+    rows = sstable.as_tables(mutations(spark, d)).select("content").mapInArrow(decode, sstable.SCHEMA)
+    return rows.select(F.col("key").cast("string").alias("key"), "seq", F.col("op").cast("int").alias("op"), F.col("value").cast("string").alias("value"))
+
+
+@_register("stream_latest", "SELECT key, seq, value FROM l")
+def stream_latest(spark, d):
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    e = ingest.stream_log(spark, d, schema, pattern="events.parquet")
+    put = F.col("event_type") != "error"
+    log = e.select(padded(F.col("user_id")).alias("key"), (F.col("event_id") + 1).alias("seq"), put.cast("int").alias("op"), F.when(put, F.col("props")).alias("value"))
+    return ingest.run_to_memory(ingest.latest_stream(log), f"latest_{uuid4().hex}").where("op = 1").select("key", "seq", "value")
+
+
+@_register("store_compacted_read", "SELECT * FROM l")
+def store_compacted_read(spark, d):
+    """Four runs written to a store, compacted, and scanned."""
+    m = _runs(mutations(spark, d))
+    store = Store.open(spark, shared_folder(spark, "store"), create_if_missing=True)
+    for i in range(4):
+        store.ingest(m.where(F.col("run_id") == i))
+    store.compact()
+    out = store.scan().select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
+    store.close()
+    return out
