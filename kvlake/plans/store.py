@@ -307,15 +307,18 @@ class Store:
                 f["level"] += f["number"] in inputs
             self._commit(new)
             return 1
-        used = own + below
-        muts = self.mutations(version=Version(files=used, comparator="-")) if used else None
-        deeper = meta.where(F.col("level") > level + 1)
+        return self._merge(own + below, level + 1, began)
+
+    def _merge(self, used: list[dict], level: int, began: float) -> int:
+        """Replace some files by what is retained of them, at ``level``."""
+        new, muts = self._next(), self.mutations(version=Version(files=used, comparator="-"))
+        deeper = self.files().where(F.col("level") > level)
         kept = compact.retained_over(muts, self.smallest_snapshot(), deeper).select("key", "seq", "op", "value")
         gone = {f["number"] for f in used}
         new.files = [f for f in new.files if f["number"] not in gone]
-        made = self._write_run(kept, level + 1, new)
+        made = self._write_run(kept, level, new)
         new.files += made
-        new.stats.append({"level": level + 1, "seconds": time.time() - began, "bytes_read": sum(f["file_size"] for f in used), "bytes_written": sum(f["file_size"] for f in made)})
+        new.stats.append({"level": level, "seconds": time.time() - began, "bytes_read": sum(f["file_size"] for f in used), "bytes_written": sum(f["file_size"] for f in made)})
         self._commit(new)
         return len(used)
 
@@ -330,6 +333,9 @@ class Store:
         deepest = max([r["level"] for r in meta.where(fs._meets(lo, hi)).select("level").distinct().collect()], default=0)
         for level in range(max(deepest, 1)):
             self.compact_level(level, lo, hi)
+        last = {r["number"] for r in fs.overlapping(self.files(), max(deepest, 1), lo, hi).select("number").collect()}
+        if last:
+            self._merge([f for f in self.version.files if f["number"] in last], max(deepest, 1), time.time())
 
     def compact_if_needed(self) -> int | None:
         """One compaction of the level with the highest score, if that is 1 or more."""
