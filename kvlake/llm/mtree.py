@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from kvlake.llm import vectors as V
 from kvlake.llm.common import checkpoint, table
 
-K, EVERY, CELLS, PAGE, FANOUT, SLACK = 5, 50, 64, 48, 12, 1e-6
+K, EVERY, CELLS, PAGE, FANOUT, SLACK = 5, 50, 32, 160, 12, 1e-6
 
 
 @dataclass
@@ -88,7 +88,9 @@ def load(ids: np.ndarray, rows: np.ndarray, top_sq: float, page: int = PAGE, fan
 
 class Searcher:
     def __init__(self, query_ids: np.ndarray, queries: np.ndarray, top_sq: float, k: int):
-        self.query_ids, self.queries, self.top_sq = query_ids, queries.astype(np.int64), top_sq
+        # no sum of products exceeds the largest squared norm: below 2^52 doubles are exact
+        self.exact = np.float64 if top_sq < 2.0**52 else object
+        self.query_ids, self.queries, self.top_sq = query_ids, queries.astype(self.exact), top_sq
         self.lifted = np.concatenate((queries.astype(np.float64), np.zeros((len(queries), 1))), axis=1)
         self.base = (self.lifted**2).sum(axis=1) + top_sq
         self.best_of = V.Best(len(queries), k, np.int64)
@@ -97,15 +99,16 @@ class Searcher:
 
     def feed(self, _: int, tree: Tree) -> None:
         tops = np.sqrt(np.maximum(self.base[:, None] - self.top_sq + (tree.pivot**2).sum(axis=1)[None, :1] - 2 * self.lifted @ tree.pivot[:1].T, 0))[:, 0]
+        rows = tree.rows.astype(self.exact)
         for q in range(len(self.queries)):
-            self._one(q, tree, float(tops[q]))
+            self._one(q, tree, rows, float(tops[q]))
 
     def _reach(self, q: int) -> float:
         """Distances beyond this cannot enter the k best."""
         floor = self.best_of.floor(q)
         return np.inf if floor is None else float(np.sqrt(max(self.base[q] - 2.0 * float(floor), 0))) + self.slack
 
-    def _one(self, q: int, tree: Tree, top: float) -> None:
+    def _one(self, q: int, tree: Tree, rows: np.ndarray, top: float) -> None:
         point, reach = self.lifted[q], self._reach(q)
         heap = [(max(top - tree.radius[0], 0.0), 0, top)]
         while heap:
@@ -118,7 +121,7 @@ class Searcher:
                 near = near[tree.ids[near] != self.query_ids[q]]
                 if len(near):
                     self.compared += len(near)
-                    self.best_of.add(q, tree.ids[near], tree.rows[near].astype(np.int64) @ self.queries[q])
+                    self.best_of.add(q, tree.ids[near], (rows[near] @ self.queries[q]).astype(np.int64))
                     reach = self._reach(q)
                 continue
             radius = tree.radius[a:b]
