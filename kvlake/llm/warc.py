@@ -36,7 +36,7 @@ from uuid import uuid4
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kvlake.llm.common import ensure_checkpoint_dir, table
+from kvlake.llm.common import checkpoint, ensure_checkpoint_dir, table
 
 SEGMENT, FRAME, MIN_BYTES = 1 << 20, 1 << 16, 0
 _DATE = "2024-01-01T00:00:00Z"
@@ -128,19 +128,36 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, frame: i
     records.write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
+def _members(data: bytes):
+    """The content of each gzip member. Compressed bytes are fed in small steps, so that what a member
+    leaves over, which zlib hands back as a copy, is short."""
+    view, at, step = memoryview(data), 0, 4096
+    while at < len(view):
+        z, out, begun = zlib.decompressobj(31), [], at
+        while not z.eof and at < len(view):
+            out.append(z.decompress(view[at : at + step]))
+            at += step
+        if not z.eof:
+            return  # cut off
+        at = min(at, len(view)) - len(z.unused_data)
+        step = min(max(1024, at - begun), 1 << 20)
+        yield b"".join(out)
+
+
 def parse_archive(data: bytes):
-    """(headers by lower-case name, block) of every record of a .warc or .warc.gz file."""
-    if data[:2] == b"\x1f\x8b":
-        pieces, rest = [], data
-        while rest:
-            z = zlib.decompressobj(31)
-            pieces.append(z.decompress(rest) + z.flush())
-            rest = z.unused_data
-            if len(pieces) >= 256 or not rest:  # whole members hold whole records here; hand over what there is
-                yield from _records(b"".join(pieces))
-                pieces = []
-    else:
+    """(headers by lower-case name, block) of every record of a .warc or .warc.gz file; a gzip member holds
+    whole records, or many members one stream (of at most 4 MB at a time if records end with members)."""
+    if data[:2] != b"\x1f\x8b":
         yield from _records(data)
+        return
+    held, size = [], 0
+    for part in _members(data):
+        held.append(part)
+        size += len(part)
+        if size > 4_000_000 and part.endswith(b"\r\n\r\n"):
+            yield from _records(b"".join(held))
+            held, size = [], 0
+    yield from _records(b"".join(held))
 
 
 def _records(data: bytes):
@@ -185,12 +202,12 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """One row per page record: record_id, type, uri, digest, refers_to, payload (null if not asked for,
     and for revisits), payload_bytes and problem."""
 
-    def parse(batches, segments: bool):
+    def parse(batches, kinds: tuple):
         for batch in batches:
             for data in batch.column("content"):
                 rows, held = [], 0
                 for head, block in parse_archive(data.as_py()):
-                    if ("warc-segment-number" in head) != segments:
+                    if ("warc-segment-number" in head) not in kinds:
                         continue
                     rows.append(_row(head, block, payloads))
                     held += len(block)
@@ -201,10 +218,14 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                     yield pa.RecordBatch.from_pylist(rows, _ARROW)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    # two passes over the files: records in one piece stay where they are, only segments are shuffled
-    single = files.mapInArrow(lambda x: parse(x, False), _ROW).select("record_id", "type", "uri", "digest", "refers_to", "payload", "payload_bytes", "problem")
-    grouped = files.mapInArrow(lambda x: parse(x, True), _ROW).groupBy("origin").agg(
-        F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("parts"), F.max("total").alias("total"), F.max("digest").alias("digest"), F.max(F.when(F.col("segment") == 1, F.col("type"))).alias("type"), F.max("uri").alias("uri")
+    if payloads:  # two passes over the files: payloads stay where they are, only segments are shuffled
+        whole_rows, segments = (files.mapInArrow(lambda x, k=k: parse(x, (k,)), _ROW) for k in (False, True))
+    else:  # rows are short: one pass, written down
+        rows = checkpoint(files.mapInArrow(lambda x: parse(x, (False, True)), _ROW))
+        whole_rows, segments = rows.where("segment IS NULL"), rows.where("segment IS NOT NULL")
+    single = whole_rows.select("record_id", "type", "uri", "digest", "refers_to", "payload", "payload_bytes", "problem")
+    grouped = segments.groupBy("origin").agg(
+        F.sort_array(F.collect_set(F.struct("segment", "block"))).alias("parts"), F.count(F.when(F.col("segment") == 1, 1)).alias("copies"), F.max("total").alias("total"), F.max("digest").alias("digest"), F.max(F.when(F.col("segment") == 1, F.col("type"))).alias("type"), F.max("uri").alias("uri")
     )
 
     @F.arrow_udf("struct<payload: binary, payload_bytes: bigint, problem: string>")
@@ -221,7 +242,9 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
             out.append({"payload": got["payload"] if payloads else None, "payload_bytes": None if got["payload"] is None else len(got["payload"]), "problem": got["problem"]})
         return pa.array(out, pa.struct([("payload", pa.binary()), ("payload_bytes", pa.int64()), ("problem", pa.string())]))
 
-    whole = grouped.withColumn("r", reassemble("parts", "total", "digest")).select(F.col("origin").alias("record_id"), "type", "uri", "digest", F.lit(None).cast("string").alias("refers_to"), "r.payload", "r.payload_bytes", "r.problem")
+    # a page that came twice has each segment twice: put together once, returned as often
+    whole = grouped.withColumn("r", reassemble("parts", "total", "digest")).withColumn("again", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("copies").cast("int")))))
+    whole = whole.select(F.col("origin").alias("record_id"), "type", "uri", "digest", F.lit(None).cast("string").alias("refers_to"), "r.payload", "r.payload_bytes", "r.problem")
     return single.unionByName(whole)
 
 
@@ -238,7 +261,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op9: every page as its record is read back."""
     path = archive_folder(spark)
     write_archives(table(spark, sf_dir, "pages"), path)
-    read = read_archives(spark, path, payloads=False).where(F.col("problem").isNull())
+    read = checkpoint(read_archives(spark, path, payloads=False).where(F.col("problem").isNull()))
     sizes = read.where("type = 'response'").select(F.col("record_id").alias("kept"), F.col("payload_bytes").alias("kept_bytes")).dropDuplicates(["kept"])
     joined = read.join(sizes, F.coalesce("refers_to", "record_id") == F.col("kept"), "left")
     return joined.select(_page_of("record_id").alias("page_id"), F.col("kept_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), _page_of("refers_to").alias("refers_to"))
