@@ -38,10 +38,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kvlake.llm.common import checkpoint, fresh, slices, table
+from kvlake.llm.common import checkpoint, fresh, give_back, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK, SPACE, NONE = 32_768, "▁", -float("inf")
+CHUNK, SPACE, NONE = 65_536, "▁", -float("inf")
 _WORDS_KEPT, _PAIRS_KEPT = 250_000, 600_000
 _SPANS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+")
 State = tuple[int, int]  # characters of the piece before the cut and after it
@@ -154,7 +154,8 @@ class Pieces:
         """Best paths from the start of ``text`` (after the piece ``first``, if given) to every place not
         yet in the lists: length and id (-1: a character without a piece) of the last piece on each,
         and the path's worth. A place that no path reaches has length 0 and worth NONE."""
-        ids, tails, known, count, bpe = self.ids.get, self.tails, self.pairs.get, self.count, self.bpe
+        ids, tails, known, count, scores = self.ids.get, self.tails, self.pairs.get, self.count, self.score_of
+        bpe, worst = self.bpe, self.worst
         for i in range(len(size), len(text) + 1):
             j = i - 1
             found = [(j, ids(text[j:i], -1))]
@@ -165,29 +166,28 @@ class Pieces:
                     break
                 if (k := ids(piece)) is not None:
                     found.append((j, k))
-            best = NONE
+            best, length, last = NONE, 0, -1
             if bpe:
-                for j, k in reversed(found):
-                    if worth[j] == NONE:
-                        continue
+                while found:
+                    j, k = found.pop()
                     if not j:
                         fit = first is None or self.fits(first, text[:i])
+                    elif not (back := size[j]):
+                        continue
                     elif k < 0 or (a := tok[j]) < 0:
-                        fit = self.fits(text[j - size[j] : j], text[j:i])
+                        fit = self.fits(text[j - back : j], text[j:i])
                     elif (fit := known(a * count + k)) is None:
                         fit = self._fit(a, k)
                     if fit:
-                        best = 0.0
+                        best, length, last = 0.0, i - j, k
                         break
             else:
                 for j, k in reversed(found):
-                    if (w := worth[j] + (self.score_of[k] if k >= 0 else self.worst)) > best:
-                        best, at, id_ = w, j, k
-                if best > NONE:
-                    j, k = at, id_
+                    if (w := worth[j] + (scores[k] if k >= 0 else worst)) > best:
+                        best, length, last = w, i - j, k
             worth.append(best)
-            size.append(i - j if best > NONE else 0)
-            tok.append(k)
+            size.append(length)
+            tok.append(last)
 
     def sweep(self, text: str, at: int, to: int, first: str | None = None) -> tuple[list[int], list[int], list[float]]:
         lists = [0], [-1], [0.0]
@@ -212,13 +212,15 @@ class Pieces:
         size, tok, _ = self.sweep(span, 0, len(span), first)
         return self.spell(span, size, tok)
 
-    def learn(self, texts: list[str]) -> None:
-        """Solve the words of some texts that are not in the table yet, in sorted order: words with
-        a common beginning share the paths over it."""
-        met: set[str] = set()
-        for x in texts:
-            if self.dummy and SPACE not in x:
-                met.update(x.replace("\n", " \n").split(" "))
+    def split(self, text: str) -> list[str]:
+        """Words without their leading mark, or [""] where a text needs the careful way: it has marks of
+        its own or runs of spaces. A newline begins a word that has no mark."""
+        return text.replace("\n", " \n").split(" ") if self.dummy and SPACE not in text else [""]
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Solve the words of some split texts that are not in the table yet, in sorted order: words
+        with a common beginning share the paths over it."""
+        met = set().union(*texts)
         met.discard("")
         words, old, past = self.words, self.words.old, ""
         size, tok, worth = lists = [0], [-1], [0.0]
@@ -242,12 +244,13 @@ class Pieces:
     def normal(self, text: str) -> str:
         return (SPACE if self.dummy else "") + text.replace(" ", SPACE) if text else ""
 
-    def encode(self, text: str) -> np.ndarray:
+    def encode(self, text: str, words: list[str] | None = None) -> np.ndarray:
+        """Ids of a text; ``words`` is what split gave for it."""
         if not text:
             return np.zeros(0, np.int32)
-        words = text.replace("\n", " \n").split(" ") if self.dummy and SPACE not in text else [""]
+        words = words or self.split(text)
         if words[0] == "" and words[1:2] and words[1][:1] == "\n" and text[0] == "\n":
-            words[0] = None  # the mark before a leading newline
+            # the mark before a leading newline
             found = self.spans[SPACE] + b"".join(map(self.words.__getitem__, words[1:])) if "" not in words[1:] else None
         else:
             found = b"".join(map(self.words.__getitem__, words)) if "" not in words else None
@@ -390,13 +393,17 @@ def encode_column(text: Column, proto: bytes) -> Column:
     @F.arrow_udf("struct<ids: array<int>, exact: boolean>")
     def encode_pieces(column: pa.Array) -> pa.Array:
         model, ids, exact = load(proto), [], []
-        for part in slices(column):
+        for part in slices(column, 1_000_000):
             texts = part.to_pylist()
-            model.learn([x for x in texts if x])
-            for x in texts:
-                ids.append(None if x is None else model.encode(x))
+            words = [model.split(x) if x else [] for x in texts]
+            model.learn(words)
+            for x, split in zip(texts, words, strict=True):
+                ids.append(None if x is None else model.encode(x, split))
                 exact.append(None if x is None else model.decode(ids[-1].tolist()) == x)
-        return pa.StructArray.from_arrays([_lists(ids), pa.array(exact, pa.bool_())], ["ids", "exact"])
+        out = pa.StructArray.from_arrays([_lists(ids), pa.array(exact, pa.bool_())], ["ids", "exact"])
+        del ids, exact
+        give_back()
+        return out
 
     return encode_pieces(text)
 

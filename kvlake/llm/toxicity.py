@@ -157,7 +157,7 @@ def score(model: Toxicity, text: Column) -> Column:
 
     @F.arrow_udf("double")
     def toxicity(column: pa.Array) -> pa.Array:
-        parts = [model.score(part) for part in slices(column, 2_000_000)]
+        parts = [model.score(part) for part in slices(column)]
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return toxicity(text)
