@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from kvlake.operators.files import overlapping
+from kvlake.operators.intervals import join_ranges
 from kvlake.schema import DELETE, LEVELS
 
 L0_FILES, LEVEL1_BYTES, FILE_BYTES = 4, 10 * 1048576, 2 * 1048576
@@ -42,7 +43,7 @@ def retained_over(muts: DataFrame, smallest_snapshot: int, deeper: DataFrame) ->
     """The same, where a key is at its base level if no range of ``deeper`` (smallest_key, largest_key)
     covers it. The ranges are a manifest's: one small row a file."""
     keys = muts.where(F.col("op") == DELETE).select("key").distinct()
-    held = keys.join(F.broadcast(deeper.select("smallest_key", "largest_key")), (F.col("key") >= F.col("smallest_key")) & (F.col("key") <= F.col("largest_key")), "left_semi")
+    held = join_ranges(keys, deeper.select("smallest_key", "largest_key"), "left_semi")
     rows = with_newer(muts).join(held.withColumn("_deep", F.lit(True)), "key", "left")
     return rows.where(~dropped(smallest_snapshot, F.col("_deep").isNull())).drop("newer_seq", "_deep")
 

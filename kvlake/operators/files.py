@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from kvlake.operators.intervals import join_ranges, small
+
 
 def run_metadata(muts: DataFrame, run: str = "run_id") -> DataFrame:
     """Bounds, counts and bytes of every run."""
@@ -48,8 +50,7 @@ def any_overlap(files: DataFrame, lo=None, hi=None) -> bool:
 
 
 def overlap_pairs(files: DataFrame, number: str = "run_id") -> DataFrame:
-    """Pairs of files that share a key, each pair once. Start and end events in key order: a file is paired
-    with those that are open when it starts; the result is as large as the answer."""
+    """Pairs of files that share a key, each pair once. This is over file metadata, never over rows."""
     a = files.select(F.col(number).alias("a"), F.col("smallest_key").alias("alo"), F.col("largest_key").alias("ahi"))
     b = files.select(F.col(number).alias("b"), F.col("smallest_key").alias("blo"), F.col("largest_key").alias("bhi"))
     return a.join(b, (F.col("a") < F.col("b")) & (F.col("alo") <= F.col("bhi")) & (F.col("blo") <= F.col("ahi"))).select("a", "b", F.greatest("alo", "blo").alias("lo"), F.least("ahi", "bhi").alias("hi"))
@@ -57,27 +58,29 @@ def overlap_pairs(files: DataFrame, number: str = "run_id") -> DataFrame:
 
 def covering(files: DataFrame, keys: DataFrame, number: str = "run_id") -> DataFrame:
     """(key, file) of every file whose range covers a key of ``keys``, with rank 1 for the newest file."""
-    hit = keys.select("key").distinct().join(F.broadcast(files), (F.col("key") >= F.col("smallest_key")) & (F.col("key") <= F.col("largest_key")))
+    hit = join_ranges(keys.select("key").distinct(), files)
     return hit.select("key", F.col(number).alias("file"), F.row_number().over(W.partitionBy("key").orderBy(F.desc(number))).alias("rank"))
 
 
 def meeting_ranges(files: DataFrame, ranges: DataFrame, number: str = "run_id") -> DataFrame:
     """(range_id, file) for ranges (range_id, lo, hi; nulls are infinite)."""
-    r = F.broadcast(ranges)
-    return files.join(r, (F.col("lo").isNull() | (F.col("largest_key") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("smallest_key") <= F.col("hi")))).select("range_id", F.col(number).alias("file"))
+    return files.join(small(ranges), (F.col("lo").isNull() | (F.col("largest_key") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("smallest_key") <= F.col("hi")))).select("range_id", F.col(number).alias("file"))
 
 
 def find_file(files: DataFrame, keys: DataFrame, number: str = "run_id") -> DataFrame:
     """For sorted disjoint files: (key, file) with the first file whose largest key is not below the key,
     null beyond the last."""
     k = keys.select("key").distinct()
-    hit = k.join(F.broadcast(files.select(F.col(number).alias("n"), F.col("largest_key").alias("top"))), F.col("top") >= F.col("key"), "left")
-    return hit.groupBy("key").agg(F.min_by("n", "top").alias("file"))
+    # a file answers for the keys after its predecessor's largest and up to its own
+    line = W.orderBy("largest_key")
+    spans = files.select(F.col(number).alias("file"), F.lag("largest_key").over(line).alias("lo"), F.col("largest_key").alias("hi"))
+    hit = join_ranges(k, spans, lo="lo", hi="hi").groupBy("key").agg(F.min_by("file", "hi").alias("file"))
+    return k.join(hit, "key", "left")
 
 
 def base_level_keys(keys: DataFrame, deeper: DataFrame) -> DataFrame:
     """Keys that no range of the deeper levels covers."""
-    return keys.select("key").distinct().join(F.broadcast(deeper.select("smallest_key", "largest_key")), (F.col("key") >= F.col("smallest_key")) & (F.col("key") <= F.col("largest_key")), "left_anti")
+    return join_ranges(keys.select("key").distinct(), deeper.select("smallest_key", "largest_key"), "left_anti")
 
 
 def level_stats(files: DataFrame) -> DataFrame:
@@ -87,7 +90,7 @@ def level_stats(files: DataFrame) -> DataFrame:
 def exact_sizes(muts: DataFrame, ranges: DataFrame) -> DataFrame:
     """(range_id, n_bytes, n_rows) of key and value bytes stored in [lo, hi)."""
     size = F.length("key") + F.coalesce(F.length("value"), F.lit(0))
-    hit = F.broadcast(ranges).join(muts, (F.col("lo").isNull() | (F.col("key") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("key") < F.col("hi"))), "left")
+    hit = small(ranges).join(muts, (F.col("lo").isNull() | (F.col("key") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("key") < F.col("hi"))), "left")
     return hit.groupBy("range_id").agg(F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("n_bytes"), F.count("key").alias("n_rows"))
 
 
@@ -102,7 +105,7 @@ def approximate_sizes(files: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def _sizes(files: DataFrame, ranges: DataFrame, span: Column) -> DataFrame:
-    pairs = files.withColumn("_k", F.lit(1)).join(F.broadcast(ranges.withColumn("_k", F.lit(1))), "_k")
+    pairs = files.withColumn("_k", F.lit(1)).join(small(ranges.withColumn("_k", F.lit(1))), "_k")
     return pairs.groupBy("range_id").agg(F.greatest(span, F.lit(0)).cast("long").alias("n_bytes"))
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from kvlake.plans.scratch import pinned
 from kvlake.schema import DELETE, MAX_SEQUENCE, PUT
 
 OP = T.StructType([T.StructField("pos", T.LongType()), T.StructField("op", T.ByteType()), T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType())])
@@ -51,14 +52,9 @@ class Batch:
         return spark.createDataFrame([(i, *o[:2], o[2]) for i, o in enumerate(self.ops)], OP)
 
 
-def number_rows(rows: DataFrame, order: Sequence[str], base: int, checkpoint: bool = True) -> DataFrame:
+def number_rows(rows: DataFrame, order: Sequence[str], base: int) -> DataFrame:
     """``rows`` with seq = base + place in ``order`` (from 0)."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
-    if checkpoint:  # numbers must not change if a lost task runs again
-        if rows.sparkSession.sparkContext.getCheckpointDir() is not None:
-            dealt = dealt.checkpoint()
-        else:
-            dealt = dealt.persist()
+    dealt = pinned(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id()))
     part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = [tuple(r) for r in dealt.groupBy(part.alias("p")).count().orderBy("p").collect()]  # one row a task
     starts, at = [], base

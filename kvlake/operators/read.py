@@ -15,6 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from kvlake.functions.keys import Order, bytewise, prefix_end
+from kvlake.plans.scratch import pinned
 from kvlake.schema import DELETE, PUT
 
 
@@ -124,7 +125,7 @@ def _beside(muts: DataFrame, probes: DataFrame, snapshot: int | None, ahead: boo
     live = visible(muts, snapshot).select("key", F.lit(None).cast("string").alias("probe"), F.col("key").alias("found"))
     asks = probes.select(F.col("key"), F.col("key").alias("probe"), F.lit(None).cast(live.schema["key"].dataType).alias("found"))
     both = live.unionByName(asks.withColumn("probe", F.col("probe").cast("string")))
-    ranked = both.repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    ranked = pinned(both.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
     # a probe comes before an equal live key, so that it finds it ahead
     order = [F.col("key").asc() if ahead else F.col("key").desc(), F.col("found").isNull().desc()]
     near = F.first("found", ignorenulls=True).over(W.partitionBy("part").orderBy(*order).rowsBetween(0, W.unboundedFollowing))
@@ -151,7 +152,7 @@ def floor_many(muts: DataFrame, probes: DataFrame, snapshot: int | None = None)
 def neighbours(muts: DataFrame, snapshot: int | None = None) -> DataFrame:
     """(key, prev_key, next_key) of every live key. Ranges of keys are windows of their own; the keys at
     their edges, two a range, are joined across."""
-    live = visible(muts, snapshot).select("key").repartitionByRange("key").withColumn("part", F.spark_partition_id())
+    live = pinned(visible(muts, snapshot).select("key").repartitionByRange("key").withColumn("part", F.spark_partition_id()))
     w = W.partitionBy("part").orderBy("key")
     inside = live.withColumn("p", F.lag("key").over(w)).withColumn("n", F.lead("key").over(w))
     edges = live.groupBy("part").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))

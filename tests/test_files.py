@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvlake.operators import compact, files as fs, histogram, manifest
+from kvlake.operators.intervals import join_ranges
 
 FILE = "level int, number long, file_size long, smallest_key string, largest_key string, num_entries long"
 
@@ -104,3 +105,14 @@ def test_histogram(spark):
     assert {r["bucket"]: r["n"] for r in histogram.merge(*half).collect()} == want
     p = {r["p"]: r["value"] for r in histogram.percentiles(df, "v", [0, 50, 100]).collect()}
     assert p[0] == 0.5 and p[100] == 1e12 and 5 <= p[50] <= 6
+
+
+@pytest.mark.parametrize("limit", [100, 0])
+def test_join_with_ranges_either_way(spark, limit):
+    keys = spark.createDataFrame([(f"{i:03d}",) for i in range(0, 300, 2)], "key string")
+    spans = [("010", "020"), ("015", "150"), (None, "003"), ("290", None), ("7", "8"), ("151", "151")]
+    ranges = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(spans)], "n int, smallest_key string, largest_key string")
+    want = {(k, i) for k in (f"{i:03d}" for i in range(0, 300, 2)) for i, (a, b) in enumerate(spans) if (a is None or k >= a) and (b is None or k <= b)}
+    assert {(r["key"], r["n"]) for r in join_ranges(keys, ranges, limit=limit).collect()} == want
+    assert {r["key"] for r in join_ranges(keys, ranges, "left_anti", limit=limit).collect()} == {r["key"] for r in keys.collect()} - {k for k, _ in want}
+    assert {r["key"] for r in join_ranges(keys, ranges, "left_semi", limit=limit).collect()} == {k for k, _ in want}
