@@ -10,6 +10,10 @@ word it comes from.
 Since the softmax is linear, the product of the embedding table with its weights is one number per
 n-gram bucket: scoring needs that table (1 MB) only and runs in numpy over the bytes of many texts.
 
+Only n-grams with clear evidence are learnt: found in at least ``MIN_DOCS`` words of documents, in
+toxic ones ``MIN_SURPLUS`` standard deviations more often than chance, at ``MIN_LIFT`` times the odds.
+All others could only be learnt by heart and keep weight zero.
+
 The model is fitted on the driver from at most ``train_rows`` labelled documents of at most
 ``train_chars`` characters; all documents are scored whole. Defined results: a null or empty text,
 or one of punctuation only, scores 0; ties and repeated rows score alike; labels other than 0 and 1
@@ -24,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kvlake.llm.common import id_crc, labelled_sample, slices, table, utf8
+from kvlake.llm.common import bounded_batches, give_back, id_crc, labelled_sample, slices, table, utf8
 
 TRAIN_ROWS, TRAIN_CHARS, THRESHOLD = 4000, 20_000, 0.5
 HELD_OUT = 0  # remainder of crc32 mod 5
-SIZES, BITS, GAIN, DIM, MIN_DOCS = (3, 4, 5, 6), 18, 60.0, 8, 30
+SIZES, BITS, GAIN, DIM, MIN_DOCS = (3, 4, 5, 6), 18, 300.0, 8, 12
+MIN_SURPLUS, MIN_LIFT = 8.0, 4.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -98,7 +103,7 @@ def mean_by_text(words: np.ndarray, first: np.ndarray) -> np.ndarray:
     return (total[first[1:]] - total[first[:-1]]) / np.maximum(np.diff(first), 1)
 
 
-def fit(texts: pa.Array, y: np.ndarray, steps: int = 150, rate: float = 0.02, ridge: float = 5e-5, seed: int = 11) -> Toxicity:
+def fit(texts: pa.Array, y: np.ndarray, steps: int = 100, rate: float = 0.01, ridge: float = 1e-5, seed: int = 11) -> Toxicity:
     """Joint maximum likelihood of embeddings and softmax by Adam; deterministic."""
     y = np.asarray(y, float)
     if len(set(y)) < 2:
@@ -120,10 +125,16 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 150, rate: float = 0.02, ri
     count = np.maximum(np.bincount(word, minlength=len(b2)), 1)
     if len(b2) != len(seen):
         raise AssertionError("a word of the sample was split")
-    # an n-gram of few documents can only be learnt by heart: it keeps weight zero
-    met = np.unique(np.repeat(np.arange(len(y)), np.diff(first)) * len(b2) + ids) % len(b2)
-    spread = np.bincount(bucket, np.bincount(met, minlength=len(b2))[word], minlength=1 << BITS)
-    keep = spread[bucket] >= MIN_DOCS
+    # an n-gram without clear evidence could only be learnt by heart: it keeps weight zero
+    met = np.unique(np.repeat(np.arange(len(y)), np.diff(first)) * len(b2) + ids)
+    in_toxic = np.bincount(met % len(b2), y[met // len(b2)], minlength=len(b2))
+    hits = np.bincount(bucket, in_toxic[word], minlength=1 << BITS)
+    spread = np.bincount(bucket, np.bincount(met % len(b2), minlength=len(b2))[word], minlength=1 << BITS)
+    share = hits.sum() / max(spread.sum(), 1)
+    surplus = (hits - share * spread) / np.sqrt(np.maximum(spread * share * (1 - share), 1e-9))
+    keep = ((spread >= MIN_DOCS) & (surplus >= MIN_SURPLUS) & (hits * (1 - share) >= MIN_LIFT * share * (spread - hits)))[bucket]
+    if not keep.any():
+        return Toxicity(np.zeros(1 << BITS, np.float32), float(np.log(y.mean() / (1 - y.mean()))))
     word, bucket = word[keep], bucket[keep]
     used, local = np.unique(bucket, return_inverse=True)
     rng = np.random.default_rng(seed)
@@ -154,10 +165,12 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, train_rows: int = TR
 
 def score(model: Toxicity, text: Column) -> Column:
     """Toxicity of a text, 0 to 1."""
+    bounded_batches()
 
     @F.arrow_udf("double")
     def toxicity(column: pa.Array) -> pa.Array:
         parts = [model.score(part) for part in slices(column)]
+        give_back()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return toxicity(text)
