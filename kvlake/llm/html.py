@@ -24,7 +24,7 @@ from html import unescape
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kvlake.llm.common import table
+from kvlake.llm.common import bounded_batches, table
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']+|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""([^\s=>/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""")
@@ -36,8 +36,10 @@ _RAW = frozenset("script style title textarea noscript template iframe svg math
 _DROP_TAGS = frozenset("head nav footer aside form menu dialog fieldset".split()) | _RAW
 _DROP_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _DROP_NAMES = frozenset(
-    "nav navbar navigation menu menubar header masthead topbar footer bottom sidebar aside rail ad ads adv advert adverts advertisement banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert warning popup modal overlay newsletter subscribe signup login social share sharing related recommended recommendations comment comments disqus reply replies respond discussion breadcrumb breadcrumbs pagination pager toolbar widget widgets search hidden copyright".split()
+    "nav navbar navigation menu menubar header masthead topbar footer sidebar aside rail ad ads adv advert adverts advertisement banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices alert warning popup modal overlay newsletter subscribe signup login social share sharing related recommended recommendations comment comments disqus reply replies respond discussion breadcrumb breadcrumbs pagination pager toolbar widget widgets search copyright".split()
 )
+_DROP_STEMS = tuple("comment sidebar navbar topnav footer cookie advert masthead newsletter breadcrumb pagination disqus sponsor popup promo".split())
+_TITLE_BLOCKS = frozenset("post entry article story content headline title".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _PUNCT = re.compile(r"[.,;:!?…。，！？¿¡\"'()-]")
 
@@ -57,10 +59,12 @@ def _furniture(tag: str, attrs: str, inside: bool) -> bool:
         names = found.get("class", "") if tag == "article" else ""
     else:
         names = f"{found.get('class', '')} {found.get('id', '')}"
-    parts = {p.lower() for p in _PART.findall(names)}
-    if inside and parts & {"header"} and not parts & (_DROP_NAMES - {"header"}):
-        return False
-    return bool(parts & _DROP_NAMES)
+    tokens, parts = names.lower().split(), {p.lower() for p in _PART.findall(names)}
+    if "hidden" in tokens or any(t.startswith(_DROP_STEMS) for t in tokens):
+        return True
+    bad = parts & _DROP_NAMES
+    # the header of an article holds its title
+    return bool(bad - {"header"}) or bool(bad) and not inside and not parts & _TITLE_BLOCKS
 
 
 def _label(tag: str, attrs: str) -> str:
@@ -212,6 +216,7 @@ def main_text(html: str | None) -> str:
 
 def extract(html: Column) -> Column:
     """Main text of an html column."""
+    bounded_batches()
 
     @F.arrow_udf("string")
     def html_text(column: pa.Array) -> pa.Array:

@@ -44,3 +44,10 @@ def test_columns(spark):
     df = spark.createDataFrame([(1, None, "k"), (2, PAGE % f"<article>{BODY}</article>", "k"), (2, "", "k")], "page_id long, html string, text string")
     assert [r["t"] for r in df.withColumn("t", extract(F.col("html"))).collect()] == ["", WANT, ""]
     assert df.limit(0).withColumn("t", extract(F.col("html"))).collect() == []
+
+
+def test_names():
+    page = PAGE % "<div class='main'><div class='post-header'><h1>Title here</h1></div><div class='overflow-hidden border-bottom'><p>First text, long enough to count.</p></div><ol class='commentlist'><li>A comment, quite long, indeed.</ol><div class='sideBar navlinks'>x</div><div class='entry-footer'>Tags</div><div class='hidden'>no</div><p>Second text, also long.</p></div>"
+    assert main_text(page) == "Title here\n\nFirst text, long enough to count.\n\nSecond text, also long."
+    assert main_text("<body><div id=top-menu><a>a</a></div><table><tr><td>Cell one, with text.<td>Cell two, with more.</table><div role=alert>No</div><p hidden>No</p><p aria-hidden='true'>No</p></body>") == "Cell one, with text.\n\nCell two, with more."
+    assert main_text("<body><article><header><h1>T</h1></header><p>Body, text.</p><footer>f</footer></article><article class='related'><p>Other, text, longer than the body.</p></article></body>") == "T\n\nBody, text."
