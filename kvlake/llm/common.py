@@ -11,6 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+_ARROW_DEFAULT, _ARROW_BYTES = "67108864b", "4m"
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``; only where that is unset
     (tests, a laptop) fall back to a folder beside the warehouse."""
@@ -71,8 +74,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def bounded_batches() -> None:
+    """Bound Arrow batches by bytes: ten thousand rows of long texts would not fit. A session's own
+    setting, if it is not the default, stays."""
+    spark, name = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark is not None and spark.conf.get(name, None) == _ARROW_DEFAULT:
+        spark.conf.set(name, _ARROW_BYTES)
+
+
 def give_back() -> None:
     """Hand memory that this worker process has freed back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
 

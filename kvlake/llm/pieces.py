@@ -32,13 +32,14 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kvlake.llm.common import checkpoint, fresh, give_back, slices, table
+from kvlake.llm.common import bounded_batches, checkpoint, fresh, give_back, slices, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, SPACE, NONE = 65_536, "▁", -float("inf")
@@ -239,6 +240,12 @@ class Pieces:
             words.put(word, self.spell(span, size, tok))
             past = word
 
+    def forget(self) -> None:
+        """Empty the tables of words; worker processes outlive their tasks."""
+        for words in (self.words, self.spans):
+            words.clear()
+            words.old = {}
+
     # -- whole texts ---------------------------------------------------------------------------
 
     def normal(self, text: str) -> str:
@@ -389,27 +396,31 @@ def _lists(parts: list[np.ndarray | None]) -> pa.Array:
 def encode_column(text: Column, proto: bytes) -> Column:
     """struct<ids: array<int>, exact: boolean>: ids of a text as one chunk, and whether decoding gives
     it back."""
+    bounded_batches()
 
     @F.arrow_udf("struct<ids: array<int>, exact: boolean>")
-    def encode_pieces(column: pa.Array) -> pa.Array:
-        model, ids, exact = load(proto), [], []
-        for part in slices(column, 1_000_000):
-            texts = part.to_pylist()
-            words = [model.split(x) if x else [] for x in texts]
-            model.learn(words)
-            for x, split in zip(texts, words, strict=True):
-                ids.append(None if x is None else model.encode(x, split))
-                exact.append(None if x is None else model.decode(ids[-1].tolist()) == x)
-        out = pa.StructArray.from_arrays([_lists(ids), pa.array(exact, pa.bool_())], ["ids", "exact"])
-        del ids, exact
+    def encode_pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = load(proto)
+        for column in columns:
+            ids, exact = [], []
+            for part in slices(column):
+                texts = part.to_pylist()
+                words = [model.split(x) if x else [] for x in texts]
+                model.learn(words)
+                for x, split in zip(texts, words, strict=True):
+                    ids.append(None if x is None else model.encode(x, split))
+                    exact.append(None if x is None else model.decode(ids[-1].tolist()) == x)
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array(exact, pa.bool_())], ["ids", "exact"])
+            give_back()
+        model.forget()
         give_back()
-        return out
 
     return encode_pieces(text)
 
 
 def decode_column(ids: Column, proto: bytes) -> Column:
     """Text of an array of ids; null for null."""
+    bounded_batches()
 
     @F.arrow_udf("string")
     def decode_pieces(column: pa.Array) -> pa.Array:

@@ -25,7 +25,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kvlake.llm.common import checkpoint, fresh, table
+from kvlake.llm.common import bounded_batches, checkpoint, fresh, give_back, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, MIN_WORTH, LOOK = 3, 5, 0.8, 64
@@ -108,6 +108,8 @@ _READ = "struct<base: array<struct<kind: int, start: int, end: int>>, seen: arra
 
 
 def read_spans(text: Column) -> Column:
+    bounded_batches()
+
     @F.arrow_udf(_READ)
     def pii_read(column: pa.Array) -> pa.Array:
         return pa.array([read_text(x.as_py()) for x in column], pa.struct([("base", pa.list_(_SPAN)), ("seen", pa.list_(_SEEN))]))
@@ -181,9 +183,13 @@ def redact(docs: DataFrame) -> DataFrame:
     trusted = learn_patterns(read.select(F.explode("seen").alias("s")).select("s.kind", "s.value", "s.patterns"))
     more = discovered(read, trusted, ["row_key"]).select(F.col("row_key").alias(key), F.col("added").alias(found))
 
+    bounded_batches()
+
     @F.arrow_udf("string")
     def pii_redact(column: pa.Array, added: pa.Array) -> pa.Array:
-        return pa.array([redact_text(x.as_py(), y.as_py()) for x, y in zip(column, added, strict=True)], pa.string())
+        out = pa.array([redact_text(x.as_py(), y.as_py()) for x, y in zip(column, added, strict=True)], pa.string())
+        give_back()
+        return out
 
     joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(more, key, "left")
     done = joined.withColumn("text", pii_redact(text, F.col(found)))

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from kvlake.llm.common import id_crc, labelled_sample, slices, table, utf8
+from kvlake.llm.common import bounded_batches, give_back, id_crc, labelled_sample, slices, table, utf8
 
 TRAIN_ROWS, TRAIN_CHARS, THRESHOLD = 3000, 20_000, 0.7
 HELD_OUT = 2  # remainder of crc32 mod 4
@@ -250,10 +250,12 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, train_rows: int = TR
 
 def score(model: LineCrf, text: Column) -> Column:
     """Quality of a text, 0 to 1."""
+    bounded_batches()
 
     @F.arrow_udf("double")
     def quality(column: pa.Array) -> pa.Array:
         parts = [model.score(*line_features(part)) for part in slices(column)]
+        give_back()
         return pa.array(np.concatenate(parts) if parts else np.zeros(0))
 
     return quality(text)

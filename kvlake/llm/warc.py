@@ -36,7 +36,7 @@ from uuid import uuid4
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kvlake.llm.common import checkpoint, ensure_checkpoint_dir, table
+from kvlake.llm.common import bounded_batches, checkpoint, ensure_checkpoint_dir, table
 
 SEGMENT, FRAME, MIN_BYTES = 1 << 20, 1 << 16, 0
 _DATE = "2024-01-01T00:00:00Z"
@@ -115,6 +115,7 @@ def roles(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, frame: int = FRAME, min_bytes: int = MIN_BYTES) -> None:
     """Write the records of ``pages`` (page_id, url, html) as .warc.gz part files under ``path``."""
+    bounded_batches()
     shared = roles(pages, min_bytes).where("copies > 1").select(F.col("digest").alias("d"), "keeper")
     known = pages.select("page_id", "url", "html").join(shared, F.sha1(F.coalesce("html", F.lit("")).cast("binary")) == F.col("d"), "left")
     keeper = F.when(F.col("keeper").isNotNull() & ~F.col("keeper").eqNullSafe(F.col("page_id")), F.col("keeper"))
