@@ -79,7 +79,8 @@ def weights(totals: DataFrame, target_entropy: float | None = None, max_repetiti
     z = _sums(F.col("logs"), F.col("exponent"))["z"]
     spend = F.lit(float(budget)) if budget is not None else F.col("total") * z * F.exp((1 - F.col("exponent")) * high)
     found = found.select("total", "exponent", z.alias("z"), spend.alias("spend"))
-    joined = _with_row(totals, found)
+    # one row, so a scalar subquery rather than a join
+    joined = totals.withColumn("_f", found.select(F.struct("total", "exponent", "z", "spend")).scalar()).select(*totals.columns, "_f.total", "_f.exponent", "_f.z", "_f.spend")
     weight = F.when(F.col("tokens") > 0, F.exp(F.col("exponent") * F.log(F.col("tokens") / F.col("total"))) / F.col("z")).otherwise(0.0)
     out = joined.withColumn("weight", weight).withColumn("allotted", F.round(F.col("weight") * F.col("spend")).cast("long"))
     if budget is None:
@@ -89,11 +90,6 @@ def weights(totals: DataFrame, target_entropy: float | None = None, max_repetiti
     return out.select("src", "tokens", "n_rows", "exponent", "weight", "allotted", "passes", "rest")
 
 
-def _with_row(totals: DataFrame, row: DataFrame) -> DataFrame:
-    """Every source beside the one row of ``row`` (an equi-join on a constant key)."""
-    return totals.withColumn("_k", F.lit(1)).join(F.broadcast(row.withColumn("_k", F.lit(1))), "_k", "left").drop("_k")
-
-
 def _block_number(doc_id: Column, n_rows: Column, seed: int) -> Column:
     blocks = F.greatest(F.lit(1), F.ceil(F.sqrt(n_rows.cast("double")))).cast("long")
     return F.pmod(F.conv(F.substring(_key(seed, doc_id), 1, 8), 16, 10).cast("long"), blocks)
