@@ -126,9 +126,9 @@ def _beside(muts: DataFrame, probes: DataFrame, snapshot: int | None, ahead: boo
     asks = probes.select(F.col("key"), F.col("key").alias("probe"), F.lit(None).cast(live.schema["key"].dataType).alias("found"))
     both = live.unionByName(asks.withColumn("probe", F.col("probe").cast("string")))
     ranked = pinned(both.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
-    # a probe comes before an equal live key, so that it finds it ahead
-    order = [F.col("key").asc() if ahead else F.col("key").desc(), F.col("found").isNull().desc()]
-    near = F.first("found", ignorenulls=True).over(W.partitionBy("part").orderBy(*order).rowsBetween(0, W.unboundedFollowing))
+    # rows come from the far side, equal live keys before probes, so that the frame only ever grows
+    order = [F.col("key").desc() if ahead else F.col("key").asc(), F.col("found").isNull().asc()]
+    near = F.last("found", ignorenulls=True).over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
     inside = ranked.withColumn("near", near)
     edges = ranked.where("found IS NOT NULL").groupBy("part").agg((F.min if ahead else F.max)("found").alias("edge"))
     carry = edges.alias("e").join(ranked.select("part").distinct().alias("p"), (F.col("e.part") > F.col("p.part")) if ahead else (F.col("e.part") < F.col("p.part")))
