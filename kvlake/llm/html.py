@@ -2,10 +2,12 @@
 
 Every text node belongs to its root-to-leaf tag path. Text length and punctuation per node are
 summed by path, smoothed over the paths in page order, and fused into one number; paths above the
-page's threshold are content. Content paths pick the container (an article or main element, or else
-the deepest path prefix that holds most of the content), and the blocks of the container are the
-main text, without paths that name furniture (menus, headers, footers, sidebars, notices, adverts,
-forms, comments) by tag, role, class or id, and without runs of links.
+page's threshold are content. Content paths pick the container (the heaviest outermost article or
+main element with all that is nested in it, or else the deepest path prefix that holds most of the
+content), and the blocks of the container are the main text, without paths that name furniture (menus,
+headers, footers, sidebars, notices, adverts, forms, comments) by tag, role, class or id. Inside a
+container a class or id marks furniture only where no path below it reaches the threshold or all of
+it is links. Runs of links are dropped outside of articles only.
 
 One page is read by one call in one pass, memory in proportion to that page; the Arrow function
 keeps every other column on the JVM side and nothing is shuffled.
@@ -40,12 +42,13 @@ _DROP_NAMES = frozenset(
 )
 _DROP_STEMS = tuple("comment sidebar navbar topnav footer cookie advert masthead newsletter breadcrumb pagination disqus sponsor popup promo".split())
 _TITLE_BLOCKS = frozenset("post entry article story content headline title".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _PUNCT = re.compile(r"[.,;:!?…。，！？¿¡\"'()-]")
 
 
 def _furniture(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element is furniture by itself; inside: it stands in an article or main element."""
+    """Whether an element is furniture by tag, role or being hidden; inside: it stands in an article or main element."""
     if tag in _DROP_TAGS or tag == "header" and not inside:
         return True
     if not attrs or "=" not in attrs and "hidden" not in attrs:
@@ -55,12 +58,22 @@ def _furniture(tag: str, attrs: str, inside: bool) -> bool:
         return True
     if "display:none" in found.get("style", "").replace(" ", "").lower():
         return True
+    return tag not in ("body", "html", "main") and "hidden" in f"{found.get('class', '')} {found.get('id', '') if tag != 'article' else ''}".lower().split()
+
+
+def _named(tag: str, attrs: str, inside: bool) -> bool:
+    """Whether class or id name an element as furniture. The id of a heading is an anchor made from its words."""
+    if not attrs or "=" not in attrs or inside and tag in _HEADINGS:
+        return False
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(attrs)}
     if tag in ("body", "html", "main", "article"):
         names = found.get("class", "") if tag == "article" else ""
+    elif tag in _HEADINGS:
+        names = found.get("class", "")
     else:
         names = f"{found.get('class', '')} {found.get('id', '')}"
     tokens, parts = names.lower().split(), {p.lower() for p in _PART.findall(names)}
-    if "hidden" in tokens or any(t.startswith(_DROP_STEMS) for t in tokens):
+    if any(t.startswith(_DROP_STEMS) for t in tokens):
         return True
     bad = parts & _DROP_NAMES
     # the header of an article holds its title
@@ -73,14 +86,17 @@ def _label(tag: str, attrs: str) -> str:
 
 
 class _Page:
-    """Blocks of one page: [path, furniture?, container number, pieces, link characters]."""
+    """Blocks of one page: [path, furniture?, container number, pieces, link characters, numbers of the
+    named elements of the container that the block stands in]."""
 
     def __init__(self, html: str):
         self.blocks: list[list] = []
-        self.stack: list[tuple[str, str, bool, int]] = []  # tag, path, furniture, container
+        self.stack: list[tuple[str, str, bool, int, tuple[int, ...]]] = []  # tag, path, furniture, container, named
         self.current: list | None = None
         self.links = 0
-        self.containers = 0
+        self.roots = [0]  # of each container the outermost one around it
+        self.articles: set[int] = set()  # containers in an article, not only in a main element
+        self.named = 0
         at = 0
         while at < len(html):
             m = _TOKEN.search(html, at)
@@ -114,13 +130,23 @@ class _Page:
                     self.close(t, self.floor(tag))
         if tag in _VOID or attrs.endswith("/"):
             return
-        _, path, bad, box = self.stack[-1] if self.stack else ("", "", False, 0)
-        if not bad and (tag in ("article", "main") or "articleBody" in attrs or re.search(r"role\s*=\s*[\"']?main", attrs)):
-            if not _furniture(tag, attrs, True):
-                self.containers += 1
-                box = self.containers if tag != "main" or not box else box
+        _, path, bad, box, soft = self.stack[-1] if self.stack else ("", "", False, 0, ())
+        outer = box
+        article = tag == "article" or "articleBody" in attrs
+        if not bad and (article or tag == "main" or re.search(r"role\s*=\s*[\"']?main", attrs)):
+            if not _furniture(tag, attrs, True) and not _named(tag, attrs, True) and (article or not box):
+                box = len(self.roots)
+                self.roots.append(self.roots[outer] or box)
+                if article or outer in self.articles:
+                    self.articles.add(box)
         bad = bad or _furniture(tag, attrs, box > 0)
-        self.stack.append((tag, f"{path}/{_label(tag, attrs)}" if tag not in _INLINE else path, bad, box))
+        if not bad and _named(tag, attrs, box > 0):
+            if outer:
+                self.named += 1
+                soft = (*soft, self.named)
+            else:
+                bad = True
+        self.stack.append((tag, f"{path}/{_label(tag, attrs)}" if tag not in _INLINE else path, bad, box, soft))
         self.links += tag == "a"
 
     def floor(self, tag: str) -> int:
@@ -142,9 +168,9 @@ class _Page:
     def text(self, raw: str) -> None:
         if not raw or self.current is None and raw.isspace():
             return
-        _, path, bad, box = self.stack[-1] if self.stack else ("", "", False, 0)
-        if self.current is None or self.current[0] != path or self.current[1] != bad:
-            self.current = [path, bad, box, [], 0]
+        _, path, bad, box, soft = self.stack[-1] if self.stack else ("", "", False, 0, ())
+        if self.current is None or self.current[0] != path or self.current[1] != bad or self.current[5] != soft:
+            self.current = [path, bad, box, [], 0, soft]
             self.blocks.append(self.current)
         self.current[3].append(raw)
         if self.links:
@@ -176,27 +202,38 @@ def main_text(html: str | None) -> str:
     """Blocks of the main content joined by two newlines."""
     if not html:
         return ""
-    blocks = []
-    for path, bad, box, pieces, links in _Page(html).blocks:
+    page, blocks = _Page(html), []
+    for path, bad, box, pieces, links, soft in page.blocks:
         if not bad and (text := " ".join(unescape("".join(pieces)).split())):
-            blocks.append((path, text, min(1.0, links / len(text)), box))
+            blocks.append((path, text, min(1.0, links / len(text)), box, soft))
     if not blocks:
         return ""
     score = _fused([b[:3] for b in blocks])
     mean = sum(score.values()) / len(score)
     cut = mean - 0.5 * math.sqrt(sum((v - mean) ** 2 for v in score.values()) / len(score))
+    # a name marks furniture only where the paths below it are poor, or all of it is links
+    named: dict[int, list[float]] = {}
+    for path, text, linked, _, soft in blocks:
+        for k in soft:
+            n = named.setdefault(k, [0, 0, 0])
+            n[0] += score[path] >= cut
+            n[1] += linked * len(text)
+            n[2] += len(text)
+    poor = {k for k, (rich, links, chars) in named.items() if not rich or links > 0.8 * chars}
+    blocks = [b for b in blocks if poor.isdisjoint(b[4])]
     weight: dict[int, float] = {}
-    for path, text, linked, box in blocks:
+    for path, text, linked, box, _ in blocks:
         if box:
-            weight[box] = weight.get(box, 0) + (1 - linked) * len(text) * (1 if score[path] >= cut else 0.5)
+            root = page.roots[box]
+            weight[root] = weight.get(root, 0) + (1 - linked) * len(text) * (1 if score[path] >= cut else 0.5)
     if weight:
         best = max(weight, key=weight.get)
-        held = [b for b in blocks if b[3] == best]
+        held = [b for b in blocks if page.roots[b[3]] == best]
     else:
         content = [b for b in blocks if score[b[0]] >= cut and b[2] < 0.5]
         total = sum(len(b[1]) for b in content)
         under: dict[str, int] = {}
-        for path, text, _, _ in content:
+        for path, text, *_ in content:
             steps = path.split("/")
             for k in range(1, len(steps) + 1):
                 under["/".join(steps[:k])] = under.get("/".join(steps[:k]), 0) + len(text)
@@ -204,14 +241,18 @@ def main_text(html: str | None) -> str:
         if any(root.rsplit("/", 1)[-1].split(".")[0] == t for t in ("p", "li", "h1", "h2", "h3", "td", "pre", "blockquote")):
             root = root.rsplit("/", 1)[0]
         held = [b for b in blocks if b[0] == root or b[0].startswith(root + "/")]
-    # several blocks of one path that are nothing but links are a menu
+    # several blocks of one path that are nothing but links are a menu, except in an article: a main
+    # element without one is the article
+    article = page.articles & {b[3] for b in held}
+    free = article or {b[3] for b in held if b[3]}
     runs: dict[str, list[int]] = {}
-    for path, _, linked, _ in held:
-        n = runs.setdefault(path, [0, 0])
-        n[0] += 1
-        n[1] += linked > 0.8
+    for path, _, linked, box, _ in held:
+        if box not in free:
+            n = runs.setdefault(path, [0, 0])
+            n[0] += 1
+            n[1] += linked > 0.8
     menu = {p for p, (n, k) in runs.items() if n >= 3 and k == n}
-    return "\n\n".join(text for path, text, _, _ in held if path not in menu)
+    return "\n\n".join(text for path, text, _, box, _ in held if box in free or path not in menu)
 
 
 def extract(html: Column) -> Column:

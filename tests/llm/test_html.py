@@ -51,3 +51,24 @@ def test_names():
     assert main_text(page) == "Title here\n\nFirst text, long enough to count.\n\nSecond text, also long."
     assert main_text("<body><div id=top-menu><a>a</a></div><table><tr><td>Cell one, with text.<td>Cell two, with more.</table><div role=alert>No</div><p hidden>No</p><p aria-hidden='true'>No</p></body>") == "Cell one, with text.\n\nCell two, with more."
     assert main_text("<body><article><header><h1>T</h1></header><p>Body, text.</p><footer>f</footer></article><article class='related'><p>Other, text, longer than the body.</p></article></body>") == "T\n\nBody, text."
+
+
+def test_nested_containers_are_kept_whole():
+    assert main_text("<article><h1>T</h1><div itemprop='articleBody'><p>Body, a text.</p></div><p>End.</p></article>") == "T\n\nBody, a text.\n\nEnd."
+    assert main_text("<main><h1>T</h1><article><p>Body, a text.</p></article></main>") == "T\n\nBody, a text."
+    assert main_text("<article><p>Outer, text.</p><article><p>Inner, longer than the outer text.</p></article></article>") == "Outer, text.\n\nInner, longer than the outer text."
+
+
+def test_links_of_an_article_stay():
+    refs = "".join(f"<li><a href='#'>Reference {i}</a>" for i in range(4))
+    kept = "Text, of a kind.\n\n" + "\n\n".join(f"Reference {i}" for i in range(4))
+    for tag in ("article", "main"):
+        assert main_text(f"<body><nav><a>x</a></nav><{tag}><p>Text, of a kind.</p><ul>{refs}</ul></{tag}></body>") == kept
+    assert main_text(f"<main><ul>{refs}</ul><article><p>Text, of a kind.</p></article></main>") == "Text, of a kind."
+
+
+def test_names_inside_an_article_need_a_poor_path():
+    text = "A paragraph, long enough to be content; it has points, too."
+    html = f"<article><h1>T</h1><p>{text}</p><h2 id='related-work'>Related work</h2><p>{text}</p><div class='discussion'><h3>Notes</h3><p>{text}</p></div><p class='commentary'>{text}</p><div class='share'><a>Tweet</a></div></article>"
+    assert main_text(PAGE % html) == "\n\n".join(["T", text, "Related work", text, "Notes", text, text])
+    assert main_text(f"<article><p>{text}</p><ul class='related'><li><a>{text}</a><li><a>{text}</a></ul></article>") == text
