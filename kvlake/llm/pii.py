@@ -4,13 +4,16 @@ Base spans come from four fixed patterns (e-mail, IP, card, phone), leftmost and
 per kind; matches that fail their check are dropped without another try. They are the seeds. Each
 seed's neighbouring words make lexical patterns. Other identifier-like tokens (with an at sign or
 four digits or more) that stand in the same contexts are instances too, and Spark scores the graph
-of patterns and instances in rounds: a pattern is worth the mean worth of its instances, an unseen
-instance what its best pattern is worth. Patterns with at least ``MIN_SEEDS`` distinct seeds of one
-kind and a worth of ``MIN_WORTH`` or more then name unseen instances, which are added as spans of
-that kind; base spans always stay.
+of patterns and instances in rounds: a pattern is worth the mean worth of its instances. Seeds are
+worth 1, an unseen instance what the best pattern trusted in an earlier round is worth, and nothing
+before there is one, so no pattern lifts itself. Patterns with at least ``MIN_SEEDS`` distinct seeds
+of one kind and a worth of ``MIN_WORTH`` or more are trusted, and the unseen instances that they name
+are seeds of that kind for other patterns, until a round adds no pattern. These instances are added
+as spans where they stand in a trusted context; base spans always stay.
 
 Scale: one pass over the texts emits spans and contexts, which are few and short; rounds run on
-those (map-side combined sums per pattern, joins by pattern that AQE may split), cut by checkpoints.
+those (map-side combined sums per pattern, joins by pattern or value that AQE may split), cut by
+checkpoints.
 
 Defined results: a null or empty text has no span; very long texts are read whole; repeated rows
 get the same spans; ties between kinds of a pattern go to the kind listed first; an empty table gives
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kvlake.llm.common import bounded_batches, checkpoint, fresh, give_back, table
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS, MIN_SEEDS, MIN_WORTH, LOOK = 3, 5, 0.8, 64
+MIN_SEEDS, MIN_WORTH, LOOK = 5, 0.8, 64
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -37,6 +40,7 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
+_EDGE = re.compile(r"^\W+|\W+$")
 
 
 def _luhn(digits: str) -> bool:
@@ -66,11 +70,20 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
-def _context(text: str, start: int, end: int) -> tuple[str, str]:
-    """Two lexical patterns: the two words before; the word before and the word after."""
+def _context(text: str, start: int, end: int) -> list[str]:
+    """Lexical patterns: the two words before, the word before and the word after, and more generally
+    the word before or the word after alone, without punctuation."""
     left = text[max(0, start - LOOK) : start].lower().split()[-2:]
     right = text[end : end + LOOK].lower().split()[:1]
-    return f"{' '.join(left)} _" if len(left) == 2 else "", f"{left[-1]} _ {right[0]}" if left and right else ""
+    out = [f"{' '.join(left)} _"] if len(left) == 2 else []
+    if left and right:
+        out.append(f"{left[-1]} _ {right[0]}")
+    before, after = (_EDGE.sub("", x[-1]) if x else "" for x in (left, right))
+    if before:
+        out.append(f"{before} _")
+    if after:
+        out.append(f"_ {after}")
+    return out
 
 
 def _tokens(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -97,8 +110,7 @@ def read_text(text: str | None) -> dict:
     spans = base_spans(text)
     seen = []
     for kind, a, b in [*spans, *((-1, a, b) for a, b in (_tokens(text, [s[1:] for s in spans]) if text else ()))]:
-        p, q = _context(text, a, b)
-        seen.append({"kind": kind, "start": a, "end": b, "value": text[a:b].lower()[:256], "patterns": [x for x in (p, q) if x]})
+        seen.append({"kind": kind, "start": a, "end": b, "value": text[a:b].lower()[:256], "patterns": _context(text, a, b)})
     return {"base": [{"kind": k, "start": a, "end": b} for k, a, b in spans], "seen": seen}
 
 
@@ -117,23 +129,28 @@ def read_spans(text: Column) -> Column:
     return pii_read(text)
 
 
-def learn_patterns(seen: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_worth: float = MIN_WORTH) -> DataFrame:
+def learn_patterns(seen: DataFrame, min_seeds: int = MIN_SEEDS, min_worth: float = MIN_WORTH) -> DataFrame:
     """(pattern, kind, worth) of the patterns to trust, from occurrences (kind, value, patterns).
 
-    Only contexts in which enough distinct seeds of a kind occur can ever be trusted, so the graph is
-    cut down to these first."""
+    A pattern is scored from what was trusted before its own round and keeps that worth."""
     links = seen.select("kind", "value", F.explode("patterns").alias("pattern"))
-    kinds = links.where("kind >= 0").distinct().groupBy("pattern", "kind").agg(F.count("*").alias("seeds"))
-    chief = kinds.groupBy("pattern").agg(F.max(F.struct("seeds", (-F.col("kind")).alias("k"))).alias("m")).where(F.col("m.seeds") >= min_seeds)
-    chief = checkpoint(chief.select("pattern", (-F.col("m.k")).alias("of")))
-    graph = checkpoint(links.groupBy("pattern", "kind", "value").agg(F.count("*").alias("n")).join(chief, "pattern"))
-    seed = F.when(F.col("kind") == F.col("of"), 1.0).otherwise(0.0)
-    worth = graph.groupBy("pattern", "of").agg((F.sum(F.col("n") * seed) / F.sum("n")).alias("worth"))
-    for _ in range(rounds - 1):
-        value = graph.where("kind < 0").join(worth.select("pattern", "worth"), "pattern").groupBy("value", "of").agg(F.max("worth").alias("held"))
-        held = graph.join(value, ["value", "of"], "left").withColumn("c", F.when(F.col("kind") < 0, F.coalesce("held", F.lit(0.0))).otherwise(seed))
-        worth = checkpoint(held.groupBy("pattern", "of").agg((F.sum(F.col("n") * F.col("c")) / F.sum("n")).alias("worth")))
-    return worth.where(F.col("worth") >= min_worth).select("pattern", F.col("of").alias("kind"), "worth")
+    graph = checkpoint(links.groupBy("pattern", "kind", "value").agg(F.count("*").alias("n")))
+    totals = checkpoint(graph.groupBy("pattern").agg(F.sum("n").alias("total"), F.count("*").alias("values")).where(F.col("values") >= min_seeds).drop("values"))
+    unseen = graph.where("kind < 0").select("pattern", "value", "n")
+    sure = graph.where("kind >= 0").select("pattern", F.col("kind").alias("of"), F.col("n").cast("double").alias("credit"))
+    trusted, credits = None, sure
+    while True:
+        scored = credits.groupBy("pattern", "of").agg(F.count("*").alias("seeds"), F.sum("credit").alias("credit")).where(F.col("seeds") >= min_seeds)
+        scored = scored.join(totals, "pattern").withColumn("worth", F.col("credit") / F.col("total")).where(F.col("worth") >= min_worth)
+        more = scored.groupBy("pattern").agg(F.max(F.struct("seeds", (-F.col("of")).alias("k"), "worth")).alias("m")).select("pattern", (-F.col("m.k")).alias("kind"), "m.worth")
+        if trusted is not None:
+            more = more.join(trusted, "pattern", "left_anti")
+        more = checkpoint(more)
+        if more.isEmpty():
+            return more if trusted is None else trusted
+        trusted = more if trusted is None else checkpoint(trusted.unionByName(more))
+        held = unseen.join(trusted, "pattern").groupBy("value", F.col("kind").alias("of")).agg(F.max("worth").alias("held"))
+        credits = sure.unionByName(unseen.join(held, "value").select("pattern", "of", (F.col("n") * F.col("held")).alias("credit")))
 
 
 def discovered(read: DataFrame, trusted: DataFrame, keys: list[str]) -> DataFrame:
@@ -153,10 +170,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), read_spans(F.col("text")).alias("r")).select("doc_id", "row_key", "r.base", "r.seen")
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_worth: float = MIN_WORTH) -> DataFrame:
+def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_worth: float = MIN_WORTH) -> DataFrame:
     """Per document: doc_id, base and added spans (arrays of kind, start, end)."""
     read = checkpoint(_keyed(docs))
-    trusted = learn_patterns(read.select(F.explode("seen").alias("s")).select("s.kind", "s.value", "s.patterns"), rounds, min_seeds, min_worth)
+    trusted = learn_patterns(read.select(F.explode("seen").alias("s")).select("s.kind", "s.value", "s.patterns"), min_seeds, min_worth)
     more = discovered(read, trusted, ["row_key"])
     none = F.array().cast("array<struct<kind: int, start: int, end: int>>")
     return read.drop("seen").join(more, "row_key", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))

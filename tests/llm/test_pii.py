@@ -59,3 +59,17 @@ def test_odd_rows(spark, odd_docs, make_docs):
     assert P.redact(odd_docs).columns == odd_docs.columns and P.redact(odd_docs).count() == 10
     assert P.find(make_docs([])).collect() == [] and P.redact(make_docs([])).collect() == []
     assert hashlib.sha256(b"").hexdigest() == P.digest([])
+
+
+def test_contexts_do_not_lift_themselves(spark, make_docs):
+    rows = [(i, f"call me at +4420794601{i:02d} now") for i in range(6)] + [(90 + i, f"call me at 12345{i} now") for i in range(8)]
+    assert all(not r["added"] for r in P.find(make_docs(rows)).collect())
+
+
+def test_accepted_instances_seed_further_contexts(spark, make_docs):
+    rows = [(i, f"Dear all, write to user{i}@mail.example.com today.") for i in range(40)]
+    rows += [(100 + i, f"Dear all, write to desk{i}@localhost today.") for i in range(5)]
+    rows += [(200 + i, f"Kindly ask desk{i % 5}@localhost instead.") for i in range(15)]
+    rows += [(300, "Kindly ask nobody@all instead."), (301, "The figure 20481 stands.")]
+    got = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["added"]] for r in P.find(make_docs(rows)).collect()}
+    assert got[100] and got[200] and got[300] == [(0, 11, 21)] and not got[301] and not got[0]
