@@ -47,3 +47,10 @@ def test_empty_and_odd_documents(spark, odd_docs, make_docs):
             assert out.count() >= (docs.count() and 1), name
             if name != "tokens":
                 assert out.columns == docs.columns
+
+
+def test_one_row_of_each_group_stays(spark, make_docs):
+    a, b, c, d = ("".join(f"{x}{i} " for i in range(300)) for x in ("alpha", "beta", "gamma", "delta"))
+    rows = [(None, a), (None, a), (None, a), (3, b), (None, b), (4, b), (7, c), (7, d), (8, d), (7, c), (9, None), (None, "")]
+    out = C.near_duplicate_stage(spark, make_docs(rows), SF).select("doc_id", "text").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(None, a), (3, b), (7, c), (7, d), (9, None)], key=str)
