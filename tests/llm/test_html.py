@@ -1,5 +1,10 @@
+import time
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import functions as F
 
+from kvlake.llm import html
 from kvlake.llm.html import extract, main_text, query
 from tests.conftest import SF
 
@@ -72,3 +77,76 @@ def test_names_inside_an_article_need_a_poor_path():
     html = f"<article><h1>T</h1><p>{text}</p><h2 id='related-work'>Related work</h2><p>{text}</p><div class='discussion'><h3>Notes</h3><p>{text}</p></div><p class='commentary'>{text}</p><div class='share'><a>Tweet</a></div></article>"
     assert main_text(PAGE % html) == "\n\n".join(["T", text, "Related work", text, "Notes", text, text])
     assert main_text(f"<article><p>{text}</p><ul class='related'><li><a>{text}</a><li><a>{text}</a></ul></article>") == text
+
+
+def test_time_is_linear_in_broken_markup():
+    for start in ("<article><p>x</p><a " + "a" * 1_000_000, "<a " + "b c" * 300_000 + "'", '<a ="x' * 150_000, "<div>" * 20_000 + "x", "<button>" * 50_000, "<!-- " * 100_000, "<a x='>" * 50_001, "<b>" * 100_000):
+        began = time.time()
+        main_text(start)
+        assert time.time() - began < 5, start[:20]
+    assert main_text("<article><p>kept, all of it.</p><a " + "a" * 30) == "kept, all of it."
+    assert main_text('<article><p title="a > b">kept</p><p class=x"y>too</p></article>') == "kept\n\ntoo"
+
+
+def test_tag_path_ratios_choose_the_nodes(monkeypatch):
+    text = "A paragraph, long enough to be content; it has points, too."
+    page = f"<body><div class='a1'>Short line one</div><div class='b2'><h2>Title</h2><p>{text}</p><p>{text} {text}</p></div><div class='c3'>Short line two</div></body>"
+    want = f"Title\n\n{text}\n\n{text} {text}"
+    assert main_text(page) == want
+    monkeypatch.setattr(html, "path_scores", lambda blocks, factor: dict.fromkeys(factor, 3.0))
+    assert main_text(page) == f"Short line one\n\n{want}\n\nShort line two"
+    pages = [r for r in pd.read_parquet(f"{SF}/pages.parquet").html]
+    assert sum(main_text(h) != article_by_hand(h) for h in pages) > len(pages) // 2
+
+
+def article_by_hand(h):
+    """The supplied pages hold one article of headings and paragraphs, some with unclosed bold text; read with the standard
+    library's parser."""
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.blocks, self.on = [], False
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.on = True
+            if tag == "br" and self.blocks:
+                self.blocks[-1] += " "
+            if tag in ("h1", "h2", "p", "li", "div", "ul", "blockquote", "article"):
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.on = False
+            elif tag in ("h1", "h2", "p", "li", "div", "ul", "blockquote"):
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.on:
+                self.blocks = self.blocks or [""]
+                self.blocks[-1] += data
+
+    reader = Reader()
+    reader.feed(h or "")
+    reader.close()
+    return "\n\n".join(t for b in reader.blocks if (t := " ".join(b.split())))
+
+
+def test_supplied_pages_against_the_standard_parser():
+    for sf in (SF, "/root/testdata/sf0.01"):
+        for h in pd.read_parquet(f"{sf}/pages.parquet").html:
+            assert main_text(h) == article_by_hand(h)
+
+
+def test_names_that_only_look_like_furniture():
+    text = "A paragraph, long enough to be content; it has points, too."
+    assert main_text(f"<article><p>{text}</p><p class='notice-period'>{text}</p><div id='search-results-study'><p>{text}</p></div></article>") == "\n\n".join([text] * 3)
+    assert main_text(f"<article><p>{text}</p><div class='ad-box'><p>{text}</p></div><section id='comments'><p>{text}</p></section></article>") == text
+    assert main_text(f"<body><div class='cookie-notice'><p>{text} {text} {text}</p></div><div id='content'><p>{text}</p></div></body>") == text
+
+
+def test_several_articles_and_parts():
+    text = "A paragraph, long enough to be content; it has points, too."
+    assert main_text(f"<main><article><p>{text}</p></article><article><p>{text} {text}</p></article></main>") == f"{text}\n\n{text} {text}"
+    assert main_text(f"<body><nav>x</nav><div id='all'><div class='s1'><p>{text}</p></div><div class='s2'><p>Short.</p></div></div></body>") == f"{text}\n\nShort."
