@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
+from kvlake.functions.keys import Order, bytewise
 from kvlake.operators.files import overlapping
 from kvlake.operators.intervals import join_ranges
 from kvlake.schema import DELETE, LEVELS
@@ -25,27 +26,29 @@ def dropped(smallest_snapshot: int, at_base: Column | bool) -> Column:
     return covered | gone
 
 
-def with_newer(muts: DataFrame) -> DataFrame:
-    return muts.withColumn("newer_seq", F.lag("seq").over(W.partitionBy("key").orderBy(F.desc("seq"))))
+def with_newer(muts: DataFrame, order: Order = bytewise) -> DataFrame:
+    return muts.withColumn("newer_seq", F.lag("seq").over(W.partitionBy(order(F.col("key"))).orderBy(F.desc("seq"))))
 
 
-def retained(muts: DataFrame, smallest_snapshot: int, at_base: Column | bool = True) -> DataFrame:
+def retained(muts: DataFrame, smallest_snapshot: int, at_base: Column | bool = True, order: Order = bytewise) -> DataFrame:
     """Mutations that survive a compaction of ``muts``."""
-    return with_newer(muts).where(~dropped(smallest_snapshot, at_base)).drop("newer_seq")
+    return with_newer(muts, order).where(~dropped(smallest_snapshot, at_base)).drop("newer_seq")
 
 
-def garbage(muts: DataFrame, smallest_snapshot: int, at_base: Column | bool = True) -> DataFrame:
+def garbage(muts: DataFrame, smallest_snapshot: int, at_base: Column | bool = True, order: Order = bytewise) -> DataFrame:
     """Mutations that a compaction drops."""
-    return with_newer(muts).where(dropped(smallest_snapshot, at_base)).drop("newer_seq")
+    return with_newer(muts, order).where(dropped(smallest_snapshot, at_base)).drop("newer_seq")
 
 
-def retained_over(muts: DataFrame, smallest_snapshot: int, deeper: DataFrame) -> DataFrame:
+def retained_over(muts: DataFrame, smallest_snapshot: int, deeper: DataFrame, order: Order = bytewise) -> DataFrame:
     """The same, where a key is at its base level if no range of ``deeper`` (smallest_key, largest_key)
-    covers it. The ranges are a manifest's: one small row a file."""
-    keys = muts.where(F.col("op") == DELETE).select("key").distinct()
-    held = join_ranges(keys, deeper.select("smallest_key", "largest_key"), "left_semi")
-    rows = with_newer(muts).join(held.withColumn("_deep", F.lit(True)), "key", "left")
-    return rows.where(~dropped(smallest_snapshot, F.col("_deep").isNull())).drop("newer_seq", "_deep")
+    covers it. The ranges are a manifest's: one small row a file. Keys without a place in the order stay."""
+    by = order(F.col("key"))
+    keys = muts.where((F.col("op") == DELETE) & by.isNotNull()).select(by.alias("_by")).distinct()
+    lo, hi = order(F.col("smallest_key")), order(F.col("largest_key"))
+    held = join_ranges(keys, deeper.select(lo.alias("_lo"), hi.alias("_hi")), "left_semi", lo="_lo", hi="_hi", key="_by")
+    rows = with_newer(muts, order).withColumn("_by", by).join(held.withColumn("_deep", F.lit(True)), "_by", "left")
+    return rows.where(~dropped(smallest_snapshot, F.col("_deep").isNull() & F.col("_by").isNotNull())).drop("newer_seq", "_deep", "_by")
 
 
 def max_bytes(level: Column) -> Column:
@@ -100,3 +103,25 @@ def flush_level(files: DataFrame, lo, hi, max_level: int = 2) -> int:
             break
         level += 1
     return level
+
+
+def best_level(files: list[tuple[int, int]]) -> tuple[float, int]:
+    """The highest score and its level (the lower of equals), from (level, bytes) of a manifest's files on the driver."""
+    best = (0.0, 0)
+    for level in range(LEVELS - 1):
+        sizes = [size for at, size in files if at == level]
+        score = len(sizes) / L0_FILES if not level else sum(sizes) / (LEVEL1_BYTES * 10.0 ** (level - 1))
+        best = max(best, (score, level), key=lambda x: (x[0], -x[1]))
+    return best
+
+
+def grandparent_cuts(far: list[tuple[bytes, int]], limit: int = GRANDPARENT_FACTOR * FILE_BYTES) -> list[bytes]:
+    """Keys at which an output file has to end, so that no output overlaps much more than ``limit`` bytes two levels below;
+    ``far`` gives the smallest key and the bytes of the files there, in order."""
+    out, held = [], 0
+    for key, size in far:
+        if held and held + size > limit:
+            out.append(key)
+            held = 0
+        held += size
+    return out

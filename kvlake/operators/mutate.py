@@ -21,8 +21,8 @@ OP = T.StructType([T.StructField("pos", T.LongType()), T.StructField("op", T.Byt
 class Batch:
     """Builder of one atomic batch, in call order."""
 
-    def __init__(self):
-        self.ops: list[tuple[int, bytes, bytes | None]] = []
+    def __init__(self, ops: list[tuple[int, bytes, bytes | None]] = ()):
+        self.ops: list[tuple[int, bytes, bytes | None]] = list(ops)
 
     def put(self, key: bytes, value: bytes) -> Batch:
         self.ops.append((PUT, bytes(key), bytes(value)))

@@ -47,18 +47,27 @@ def visible_by_aggregate(muts: DataFrame, snapshot: int | None = None) -> DataFr
     return seen.join(top, ["key", "seq"]).where(F.col("op") == PUT).select("key", "seq", "value")
 
 
-def get(muts: DataFrame, key, snapshot: int | None = None) -> DataFrame:
+def _same(order: Order, key) -> Column:
+    """Whether a row's key is ``key`` in this order; with the default, a plain comparison that reaches the scan."""
+    return F.col("key") == F.lit(key) if order is bytewise else order(F.col("key")).eqNullSafe(order(F.lit(key)))
+
+
+def get(muts: DataFrame, key, snapshot: int | None = None, order: Order = bytewise) -> DataFrame:
     """(key, seq, value) of one key: at most one row, none if it was never put or is deleted."""
-    found = upto(muts, snapshot).where(F.col("key") == F.lit(key)).orderBy(F.desc("seq")).limit(1)
+    found = upto(muts, snapshot).where(_same(order, key)).orderBy(F.desc("seq")).limit(1)
     return found.where(F.col("op") == PUT).select("key", "seq", "value")
 
 
-def multi_get(muts: DataFrame, keys: DataFrame, snapshot: int | None = None, keep_missing: bool = False) -> DataFrame:
+def multi_get(muts: DataFrame, keys: DataFrame, snapshot: int | None = None, keep_missing: bool = False, order: Order = bytewise) -> DataFrame:
     """Values of a set of keys (column key; repeated keys count once); ``keep_missing`` returns absent
-    keys with nulls. The log is cut to the asked keys before versions are compared."""
-    keys = keys.select("key").distinct()
-    live = visible(muts.join(keys, "key", "left_semi"), snapshot)
-    return keys.join(live, "key", "left" if keep_missing else "inner").select("key", "seq", "value")
+    keys with nulls. The log is cut to the asked keys before versions are compared. Keys are returned as they are asked."""
+    keys = keys.select("key").distinct().withColumn("_by", order(F.col("key")))
+    asked = keys.select(F.col("_by").alias("_asked")).distinct()
+    by = order(F.col("key"))
+    live = visible(muts.join(asked, by.eqNullSafe(F.col("_asked")), "left_semi"), snapshot, order)
+    live = live.select(by.alias("_have"), "seq", "value")
+    met = F.col("_by") == F.col("_have") if order is bytewise else F.col("_by").eqNullSafe(F.col("_have"))
+    return keys.join(live, met, "left" if keep_missing else "inner").select("key", "seq", "value")
 
 
 def scan(muts: DataFrame, lo=None, hi=None, snapshot: int | None = None, limit: int | None = None, reverse: bool = False, order: Order = bytewise, sort: bool = True) -> DataFrame:
@@ -74,8 +83,12 @@ def scan(muts: DataFrame, lo=None, hi=None, snapshot: int | None = None, limit:
     return out if limit is None else out.limit(limit)
 
 
-def prefix_scan(muts: DataFrame, prefix, snapshot: int | None = None, **more) -> DataFrame:
-    """Live rows whose key begins with ``prefix``, as a range, so that it prunes."""
+def prefix_scan(muts: DataFrame, prefix, snapshot: int | None = None, order: Order = bytewise, **more) -> DataFrame:
+    """Live rows whose key begins with ``prefix``, as a range, so that it prunes; in other orders than the default the
+    prefix is no range, and every live key is looked at."""
+    if order is not bytewise:
+        live = visible(muts, snapshot, order)
+        return live.where(F.startswith("key", F.lit(prefix))).orderBy(order(F.col("key")))
     end = prefix_end(prefix if isinstance(prefix, bytes) else prefix.encode())
     if end is not None and not isinstance(prefix, bytes):
         try:
@@ -161,47 +174,48 @@ def neighbours(muts: DataFrame, snapshot: int | None = None) -> DataFrame:
     return inside.join(F.broadcast(around), "part").select("key", F.coalesce("p", "before").alias("prev_key"), F.coalesce("n", "after").alias("next_key"))
 
 
-def history(muts: DataFrame, key) -> DataFrame:
+def history(muts: DataFrame, key, order: Order = bytewise) -> DataFrame:
     """All versions of one key, newest first."""
-    return muts.where(F.col("key") == F.lit(key)).select("key", "seq", "op", "value").orderBy(F.desc("seq"))
+    return muts.where(_same(order, key)).select("key", "seq", "op", "value").orderBy(F.desc("seq"))
 
 
-def version_counts(muts: DataFrame) -> DataFrame:
-    """Versions, deletions and newest sequence of every key."""
+def version_counts(muts: DataFrame, order: Order = bytewise) -> DataFrame:
+    """Versions, deletions and newest sequence of every key; of keys that are equal in the order the newest is named."""
     dels = F.sum(F.when(F.col("op") == DELETE, 1).otherwise(0))
-    return muts.groupBy("key").agg(F.count("*").alias("versions"), dels.alias("deletions"), F.max("seq").alias("newest_seq"))
+    found = muts.groupBy(order(F.col("key")).alias("_by")).agg(F.max_by("key", "seq").alias("key"), F.count("*").alias("versions"), dels.alias("deletions"), F.max("seq").alias("newest_seq"))
+    return found.drop("_by")
 
 
-def deleted_keys(muts: DataFrame, snapshot: int | None = None) -> DataFrame:
+def deleted_keys(muts: DataFrame, snapshot: int | None = None, order: Order = bytewise) -> DataFrame:
     """Keys whose newest visible mutation is a deletion."""
-    return newest(muts, snapshot).where(F.col("op") == DELETE).select("key", "seq")
+    return newest(muts, snapshot, order).where(F.col("op") == DELETE).select("key", "seq")
 
 
-def hidden_versions(muts: DataFrame, snapshot: int | None = None) -> DataFrame:
+def hidden_versions(muts: DataFrame, snapshot: int | None = None, order: Order = bytewise) -> DataFrame:
     """Visible mutations that a newer visible one of the same key covers."""
-    w = W.partitionBy("key").orderBy(F.desc("seq"))
+    w = W.partitionBy(order(F.col("key"))).orderBy(F.desc("seq"))
     return upto(muts, snapshot).withColumn("_n", F.row_number().over(w)).where("_n > 1").select("key", "seq", "op", "value")
 
 
-def as_of_join(probes: DataFrame, muts: DataFrame, key: str = "key", at: str = "as_of") -> DataFrame:
+def as_of_join(probes: DataFrame, muts: DataFrame, key: str = "key", at: str = "as_of", order: Order = bytewise) -> DataFrame:
     """``probes`` with the value (and its seq) that each row's key had at its own sequence number, nulls if
     absent or deleted. Probes and versions are merged in one sorted pass per key, never paired up."""
-    log = muts.select(F.col("key").alias("_k"), F.col("seq").alias("_t"), F.struct("seq", "op", "value").alias("_v"), F.lit(None).cast(probes.schema).alias("_p"))
-    asks = probes.select(F.col(key).alias("_k"), F.col(at).alias("_t"), F.lit(None).cast(log.schema["_v"].dataType).alias("_v"), F.struct(*probes.columns).alias("_p"))
+    log = muts.select(order(F.col("key")).alias("_k"), F.col("seq").alias("_t"), F.struct("seq", "op", "value").alias("_v"), F.lit(None).cast(probes.schema).alias("_p"))
+    asks = probes.select(order(F.col(key)).alias("_k"), F.col(at).alias("_t"), F.lit(None).cast(log.schema["_v"].dataType).alias("_v"), F.struct(*probes.columns).alias("_p"))
     w = W.partitionBy("_k").orderBy("_t", F.col("_p").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
     met = log.unionByName(asks).withColumn("_l", F.last("_v", ignorenulls=True).over(w)).where("_p IS NOT NULL")
     live = F.col("_l.op") == PUT
     return met.select("_p.*", F.when(live, F.col("_l.seq")).alias("value_seq"), F.when(live, F.col("_l.value")).alias("value"))
 
 
-def diff(muts: DataFrame, old: int, new: int) -> DataFrame:
+def diff(muts: DataFrame, old: int, new: int, order: Order = bytewise) -> DataFrame:
     """(key, change, old_value, new_value) between two snapshots: added, removed or changed (a value put
     again unchanged is no change). One pass: both states of a key come from one aggregate."""
     def state(s: int) -> Column:
         at = F.when(F.col("seq") <= s, F.col("seq"))
         return F.max_by(F.struct("op", "value"), at)
 
-    both = upto(muts, max(old, new)).groupBy("key").agg(state(old).alias("o"), state(new).alias("n"))
+    both = upto(muts, max(old, new)).groupBy(order(F.col("key")).alias("_by")).agg(F.max_by("key", "seq").alias("key"), state(old).alias("o"), state(new).alias("n"))
     had, has = F.coalesce(F.col("o.op") == PUT, F.lit(False)), F.coalesce(F.col("n.op") == PUT, F.lit(False))
     kind = F.when(~had & has, "added").when(had & ~has, "removed").when(had & has & ~F.col("o.value").eqNullSafe(F.col("n.value")), "changed")
     out = both.select("key", kind.alias("change"), F.when(had, F.col("o.value")).alias("old_value"), F.when(has, F.col("n.value")).alias("new_value"))

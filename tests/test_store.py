@@ -1,6 +1,12 @@
+import json
+import random
+
 import pytest
 
+from kvlake.functions.keys import ORDERS
+from kvlake.operators import compact
 from kvlake.operators.mutate import Batch
+from kvlake.plans import store as store_module
 from kvlake.plans.store import Store, StoreError
 from kvlake.sources import wal
 from kvlake.streaming import ingest
@@ -15,6 +21,10 @@ def scan(store, **more):
     return [(bytes(r["key"]), bytes(r["value"])) for r in store.scan(**more).collect()]
 
 
+def history(store, key):
+    return [(r["seq"], bytes(r["value"]) if r["op"] else None) for r in store.history(key).collect()]
+
+
 def test_open_options(spark, path):
     with pytest.raises(StoreError, match="not exist"):
         Store.open(spark, path)
@@ -32,7 +42,7 @@ def test_open_options(spark, path):
 
 
 def test_life_of_a_store(spark, path):
-    with Store.open(spark, path, create_if_missing=True) as s:
+    with Store.open(spark, path, create_if_missing=True, buffer_bytes=0) as s:
         s.put(b"foo", b"v1")
         first = s.snapshot()
         assert s.write(Batch().put(b"foo", b"v2").put(b"bar", b"b1").delete(b"none").put(b"foo", b"v3")) == 5
@@ -43,13 +53,13 @@ def test_life_of_a_store(spark, path):
         held = s.scan()
         s.put(b"foo", b"v4")
         assert [bytes(r["value"]) for r in held.collect()] == [b"", b"v3"]
-        assert s.history(b"foo") == [(s.version.last_sequence, b"v4"), (5, b"v3"), (2, b"v2"), (1, b"v1")]
+        assert history(s, b"foo") == [(s.version.last_sequence, b"v4"), (5, b"v3"), (2, b"v2"), (1, b"v1")]
         s.compact()
         assert s.property("num-files-at-level0") == "0" and s.get(b"foo", first) == b"v1"
         s.release(first)
         s.put(b"zoo", b"z")
         s.compact()
-        assert [v for _, v in s.history(b"foo")] == [b"v4"] and s.history(b"bar") == []
+        assert [v for _, v in history(s, b"foo")] == [b"v4"] and history(s, b"bar") == []
         before = scan(s)
         assert s.vacuum() > 0 and scan(s) == before == [(b"", b""), (b"foo", b"v4"), (b"zoo", b"z")]
         assert "level" in s.property("stats") and "--- level 0 ---" in s.property("sstables") and s.data_range()
@@ -66,21 +76,21 @@ def test_life_of_a_store(spark, path):
 
 
 def test_deletions_stay_above_data(spark, path):
-    with Store.open(spark, path, create_if_missing=True) as s:
+    with Store.open(spark, path, create_if_missing=True, buffer_bytes=0) as s:
         s.put(b"foo", b"v1")
         s.compact()
         s.compact_level(1)  # moves to level 2 by a manifest edit
         assert s.property("num-files-at-level2") == "1"
         s.delete(b"foo")
         s.compact_level(0)
-        assert s.get(b"foo") is None and [v for _, v in s.history(b"foo")] == [None, b"v1"]
+        assert s.get(b"foo") is None and [v for _, v in history(s, b"foo")] == [None, b"v1"]
         s.compact()
-        assert s.history(b"foo") == []
+        assert history(s, b"foo") == []
 
 
 def test_races_and_missing_files(spark, path, tmp_path):
-    a = Store.open(spark, path, create_if_missing=True, lock=False)
-    b = Store.open(spark, path, lock=False)
+    a = Store.open(spark, path, create_if_missing=True, lock=False, buffer_bytes=0)
+    b = Store.open(spark, path, lock=False, buffer_bytes=0)
     a.put(b"x", b"1")
     with pytest.raises(StoreError, match="faster"):
         b.put(b"x", b"2")
@@ -93,7 +103,7 @@ def test_races_and_missing_files(spark, path, tmp_path):
 
 
 def test_repair(spark, path):
-    with Store.open(spark, path, create_if_missing=True) as s:
+    with Store.open(spark, path, create_if_missing=True, buffer_bytes=0) as s:
         for i in range(3):
             s.put(b"k", b"v%d" % i)
         spoilt = s.version.files[0]["path"]
@@ -126,6 +136,7 @@ def test_compaction_by_score(spark, path):
         assert s.compact_if_needed() is None
         for i in range(4):
             s.put(b"a", b"%d" % i)
+            s.flush()
         assert s.compact_if_needed() == 0 and s.property("num-files-at-level0") == "0" and s.get(b"a") == b"3"
 
 
@@ -143,3 +154,100 @@ def test_streams(spark, path, tmp_path):
         assert s.get(b"b") == b"back"
         latest = ingest.run_to_memory(ingest.latest_stream(rows), "latest_test")
         assert {bytes(r["key"]): None if r["value"] is None else bytes(r["value"]) for r in latest.collect()} == {b"a": b"2", b"b": b"back"}
+
+
+def test_order_holds_through_compaction_and_every_read(spark, path):
+    with Store.open(spark, path, create_if_missing=True, comparator="bracketed_number") as s:
+        for key, value in ((b"[10]", b"ten"), (b"[20]", b"twenty"), (b"[3]", b"three")):
+            s.put(key, value)
+        pin = s.snapshot()
+        s.delete(b"[0xa]")
+        s.compact()
+        assert s.get(b"[10]") is None and s.get(b"[0xa]") is None and s.get(b"[0xA]", pin) == b"ten"
+        s.release(pin)
+        s.compact()
+        assert history(s, b"[10]") == [] and [k for k, _ in scan(s)] == [b"[3]", b"[20]"]
+        keys = spark.createDataFrame([(bytearray(k),) for k in (b"[0x14]", b"[0x3]", b"[5]")], "key binary")
+        for _ in range(2):
+            assert sorted((bytes(r["key"]), bytes(r["value"])) for r in s.multi_get(keys).collect()) == [(b"[0x14]", b"twenty"), (b"[0x3]", b"three")]
+            assert s.multi_get(keys, keep_missing=True).count() == 3
+            s.put(b"[0x3]", b"three")
+        assert s.seek(b"[4]") == (b"[20]", b"twenty") and s.previous(b"[0x14]") == (b"[0x3]", b"three") and s.last()[0] == b"[20]" and s.next(b"[20]") is None
+        assert s.approximate_sizes([(b"[0]", b"[0x100]")])[0] > 0 == s.approximate_sizes([(b"[100]", b"[200]")])[0]
+        assert [bytes(r["key"]) for r in s.prefix(b"[0x").collect()] == [b"[0x3]"]
+
+
+@pytest.mark.parametrize("name", sorted(ORDERS))
+def test_random_histories_in_every_order(spark, path, name):
+    rng, order = random.Random(11), ORDERS[name]
+    model, pins = {}, []
+    form = (lambda i: b"[%d]" % i, lambda i: b"[0x%x]" % i) if name == "bracketed_number" else (lambda i: b"k%02d" % i, lambda i: b"k%02d" % i)
+    with Store.open(spark, path, create_if_missing=True, comparator=name, buffer_bytes=1500, flush_to=2) as s:
+        for step in range(60):
+            key = rng.choice(form)(rng.randrange(12))
+            if rng.random() < 0.3:
+                s.delete(key)
+                model.pop(order.value(key), None)
+            else:
+                s.put(key, b"%d" % step)
+                model[order.value(key)] = b"%d" % step
+            if step in (20, 40):
+                pins.append((s.snapshot(), dict(model)))
+            if step in (30, 50):
+                s.compact()
+            if step == 45:
+                s.flush()
+                s.compact_if_needed()
+        live = scan(s)
+        assert [order.value(k) for k, _ in live] == sorted(model) and {order.value(k): v for k, v in live} == model
+        for pin, then in pins:
+            assert {order.value(k): v for k, v in scan(s, snapshot=pin)} == then
+            for i in range(0, 12, 5):
+                assert s.get(form[1](i), pin) == then.get(order.value(form[1](i)))
+        assert s.first() == live[0] and s.last() == live[-1]
+    with Store.open(spark, path, comparator=name) as s:
+        assert scan(s) == live
+
+
+def test_buffer_log_and_group_commit(spark, path):
+    with Store.open(spark, path, create_if_missing=True) as s:
+        assert s.put(b"a", b"1") == 1 and s.write_many([Batch().put(b"b", b"2").delete(b"a"), Batch().put(b"c", b"3")]) == 4
+        assert s.get(b"a") is None and s.get(b"a", 1) == b"1" and s.get(b"c") == b"3" and s.get(b"zz") is None
+        assert int(s.property("approximate-memory-usage")) > 0 and s.property("num-files-at-level0") == "0"
+        assert scan(s) == [(b"b", b"2"), (b"c", b"3")] and s.seek(b"bb") == (b"c", b"3")
+    with Store.open(spark, path) as s:  # the logs are taken in
+        assert scan(s) == [(b"b", b"2"), (b"c", b"3")] and s.put(b"d", b"4") == 5
+        assert s.flush() == 5 and s.property("approximate-memory-usage") == "0" and s._fs.list("log") == []
+        assert scan(s) == [(b"b", b"2"), (b"c", b"3"), (b"d", b"4")]
+        s.put(b"e", b"x" * (5 << 20))  # more than the buffer holds
+        assert s.last()[0] == b"e" and s.property("num-files-at-level0") != "0"
+
+
+def test_manifests_are_changes(spark, path, monkeypatch):
+    monkeypatch.setattr(store_module, "WHOLE_EVERY", 4)
+    with Store.open(spark, path, create_if_missing=True, buffer_bytes=0) as s:
+        for i in range(6):
+            s.put(b"%d" % i, b"v")
+        sizes = [len(json.loads(s._fs.read(f"manifest/{n}"))["files"]) for n in s._fs.list("manifest")]
+        assert sizes == [0, 1, 1, 3, 1, 1, 1]
+    with Store.open(spark, path) as s:
+        assert len(s.version.files) == 6 and len(scan(s)) == 6
+
+
+def test_cuts_and_levels(spark, path, monkeypatch):
+    assert compact.grandparent_cuts([(b"a", 5), (b"b", 5), (b"c", 5), (b"d", 20), (b"e", 1)], 10) == [b"c", b"d", b"e"] and compact.grandparent_cuts([]) == []
+    assert compact.best_level([(0, 1)] * 6 + [(1, 10 << 20)]) == (1.5, 0) and compact.best_level([]) == (0.0, 0)
+    monkeypatch.setattr(compact, "FILE_BYTES", 300)
+    with Store.open(spark, path, create_if_missing=True, buffer_bytes=0, flush_to=2) as s:
+        s.write(Batch([(1, b"%03d" % i, b"x" * 20) for i in range(0, 200)]))
+        assert {f["level"] for f in s.version.files} == {2}
+        s.write(Batch([(1, b"%03d" % i, b"y" * 20) for i in range(0, 200, 2)]))
+        assert s.property("num-files-at-level0") != "0"
+        s.compact_level(0)
+        one = [f for f in s.version.files if f["level"] == 1]
+        assert len(one) > 1 and max(f["num_entries"] for f in one) < 100
+        assert sum(v == b"y" * 20 for _, v in scan(s)) == 100 and len(scan(s)) == 200
+
+
+def test_stores_without_exclusive_files_are_refused(spark):
+    assert "s3a" in store_module.NOT_EXCLUSIVE and "hdfs" not in store_module.NOT_EXCLUSIVE
