@@ -9,12 +9,15 @@ WARC-Segment-Origin-ID, and the last one gives WARC-Segment-Total-Length.
 Reading: files are parsed record by record. Records in one piece are decoded in place. Segments are
 grouped by their origin's id, ordered by number, and put together if none is missing and the total
 length is right; then the chunked framing is decoded and the digest verified. A record that fails
-any of this is returned with its ``problem`` rather than dropped.
+any of this is returned with its ``problem`` rather than dropped, and so is what is left of damaged files: a
+header that is cut off or gives no usable length, a block that is cut off, a gzip member that is broken
+or cut off (reading goes on at the next member).
 
 Archives are made of one gzip member per record, written by Spark's text writer into the shared
 folder: its line separator is an empty gzip member, so each part file is a valid .warc.gz. They are
 read by Spark's binary reader, so any store that Spark reaches will do, and a lost task is simply
-run again. A part file holds the records of one input split, so its size is bounded by the split's.
+run again. A part file holds at most so many records of at most ``segment`` bytes that it stays under 2 GB,
+the most that one row of the binary reader can hold.
 
 Scale: only ids and digests are shuffled to decide roles (one row per page; a group of equal
 payloads is one map-side combined maximum); pages meet their role in a join that adaptive execution
@@ -23,7 +26,8 @@ splits if a payload is very common. Only split records are shuffled by origin.
 Defined results: null html is an empty payload; empty payloads are equal to each other; very long
 payloads span segments; repeated rows (same id, same payload) are the same response, and a repeated
 id with another payload is a record of its own; a null id is written as empty and read back as null;
-an empty table gives an empty result; columns other than id, url and html are ignored.
+an empty table gives an empty result; columns other than id, url and html are ignored. A page whose record cannot
+be read back is returned without payload_bytes.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kvlake.llm.common import bounded_batches, checkpoint, ensure_checkpoint_dir, table
 
-SEGMENT, FRAME, MIN_BYTES = 1 << 20, 1 << 16, 0
+SEGMENT, FRAME, MIN_BYTES, FILE_BYTES = 1 << 20, 1 << 16, 0, 1_900_000_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -126,49 +130,72 @@ def write_archives(pages: DataFrame, path: str, segment: int = SEGMENT, frame: i
         return pa.array([page_records(*(x.as_py() for x in row), segment, frame) for row in rows], pa.list_(pa.binary()))
 
     records = known.select(F.explode(warc_records("page_id", "url", "html", keeper)).alias("r")).select(F.col("r").cast("string").alias("value"))
-    records.write.option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
+    records.write.option("maxRecordsPerFile", max(1, FILE_BYTES // (segment + FRAME))).option("lineSep", SEPARATOR.decode("latin-1")).option("encoding", "ISO-8859-1").text(path)
 
 
 def _members(data: bytes):
-    """The content of each gzip member. Compressed bytes are fed in small steps, so that what a member
+    """(content, problem) of each gzip member. Compressed bytes are fed in small steps, so that what a member
     leaves over, which zlib hands back as a copy, is short."""
     view, at, step = memoryview(data), 0, 4096
     while at < len(view):
         z, out, begun = zlib.decompressobj(31), [], at
-        while not z.eof and at < len(view):
-            out.append(z.decompress(view[at : at + step]))
-            at += step
+        try:
+            while not z.eof and at < len(view):
+                out.append(z.decompress(view[at : at + step]))
+                at += step
+        except zlib.error:
+            yield b"".join(out), "gzip member is broken"
+            at = data.find(b"\x1f\x8b\x08", begun + 1)
+            if at < 0:
+                return
+            continue
         if not z.eof:
-            return  # cut off
+            yield b"".join(out), "gzip member is cut off"
+            return
         at = min(at, len(view)) - len(z.unused_data)
         step = min(max(1024, at - begun), 1 << 20)
-        yield b"".join(out)
+        yield b"".join(out), None
 
 
 def parse_archive(data: bytes):
-    """(headers by lower-case name, block) of every record of a .warc or .warc.gz file; a gzip member holds
+    """(headers by lower-case name, block, problem) of every record of a .warc or .warc.gz file; a gzip member holds
     whole records, or many members one stream (of at most 4 MB at a time if records end with members)."""
     if data[:2] != b"\x1f\x8b":
         yield from _records(data)
         return
     held, size = [], 0
-    for part in _members(data):
+    for part, problem in _members(data):
         held.append(part)
         size += len(part)
-        if size > 4_000_000 and part.endswith(b"\r\n\r\n"):
-            yield from _records(b"".join(held))
+        if problem:
+            yield from _records(b"".join(held), problem)
+        if problem or size > 4_000_000 and part.endswith(b"\r\n\r\n"):
+            yield from _records(b"".join(held)) if not problem else ()
             held, size = [], 0
     yield from _records(b"".join(held))
 
 
-def _records(data: bytes):
-    at = 0
+def _records(data: bytes, damage: str | None = None):
+    """``damage``: what is wrong with the end of ``data``; its last record, or one without headers, tells it."""
+    at, told = 0, damage is None
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
-        n = int(head["content-length"])
-        yield head, data[end + 4 : end + 4 + n]
-        at = end + 4 + n
+        end = data.find(b"\r\n\r\n", at)
+        lines = data[at : end if end >= 0 else len(data)].decode("utf-8", "replace").split("\r\n")[1:]
+        head = {k.strip().lower(): v.strip() for k, colon, v in (x.partition(":") for x in lines) if colon}
+        n, start = head.get("content-length", ""), end + 4
+        if end < 0:
+            yield head, b"", damage or "header is cut off"
+            return
+        if not n.isascii() or not n.isdigit():
+            yield head, b"", "no content length"
+            at = start
+            continue
+        at = start + int(n)
+        cut = at > len(data)
+        told = told or cut
+        yield head, data[start:at], (damage or "block is cut off") if cut else None
+    if not told:
+        yield {}, b"", damage
 
 
 def decode_block(head_digest: str | None, block: bytes) -> dict:
@@ -187,11 +214,16 @@ _ROW = "record_id string, type string, uri string, digest string, refers_to stri
 _ARROW = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("uri", pa.string()), ("digest", pa.string()), ("refers_to", pa.string()), ("segment", pa.int32()), ("origin", pa.string()), ("total", pa.int64()), ("block", pa.binary()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("problem", pa.string())])
 
 
-def _row(head: dict, block: bytes, payloads: bool) -> dict:
+def _row(head: dict, block: bytes, problem: str | None, payloads: bool) -> dict:
     bare = lambda k: head.get(k, "").strip("<>") or None
     row = {"record_id": bare("warc-record-id"), "type": head.get("warc-type"), "uri": head.get("warc-target-uri") or None, "digest": head.get("warc-payload-digest", "").removeprefix("sha1:") or None, "refers_to": bare("warc-refers-to")}
+    if problem:
+        return row | {"problem": problem}
     if "warc-segment-number" in head:
-        number = int(head["warc-segment-number"])
+        number, total = head["warc-segment-number"], head.get("warc-segment-total-length", "0")
+        if not (number.isascii() and number.isdigit() and total.isascii() and total.isdigit()):
+            return row | {"problem": "segment is not numbered"}
+        number = int(number)
         return row | {"segment": number, "origin": bare("warc-segment-origin-id") or row["record_id"], "total": int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None, "block": block}
     if row["type"] == "response":
         got = decode_block(row["digest"], block)
@@ -207,10 +239,11 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         for batch in batches:
             for data in batch.column("content"):
                 rows, held = [], 0
-                for head, block in parse_archive(data.as_py()):
-                    if ("warc-segment-number" in head) not in kinds:
+                for head, block, problem in parse_archive(data.as_py()):
+                    row = _row(head, block, problem, payloads)
+                    if ("segment" in row) not in kinds:
                         continue
-                    rows.append(_row(head, block, payloads))
+                    rows.append(row)
                     held += len(block)
                     if held > 8_000_000:
                         yield pa.RecordBatch.from_pylist(rows, _ARROW)
@@ -262,7 +295,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op9: every page as its record is read back."""
     path = archive_folder(spark)
     write_archives(table(spark, sf_dir, "pages"), path)
-    read = checkpoint(read_archives(spark, path, payloads=False).where(F.col("problem").isNull()))
+    read = checkpoint(read_archives(spark, path, payloads=False))
     sizes = read.where("type = 'response'").select(F.col("record_id").alias("kept"), F.col("payload_bytes").alias("kept_bytes")).dropDuplicates(["kept"])
     joined = read.join(sizes, F.coalesce("refers_to", "record_id") == F.col("kept"), "left")
     return joined.select(_page_of("record_id").alias("page_id"), F.col("kept_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), _page_of("refers_to").alias("refers_to"))

@@ -73,3 +73,32 @@ def test_shared_payload_threshold(spark):
 
 def test_empty_table(spark):
     assert W.read_archives(spark, write(spark, [])).collect() == []
+
+
+def test_cut_and_broken_input_is_told(spark, tmp_path):
+    def at(name, data):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0").write_bytes(data)
+        for payloads in (True, False):
+            rows = W.read_archives(spark, str(tmp_path / name), payloads).collect()
+        return sorted(str(r["problem"]) for r in rows)
+
+    a, b = (W.page_records(i, "u", f"hello {i} " * 50, None, 1 << 20, 512)[0] for i in (1, 2))
+    plain = gzip.decompress(a)
+    assert at("header", plain + gzip.decompress(b)[:40]) == ["None", "header is cut off"]
+    assert at("length", plain.replace(b"Content-Length", b"Content-Size") + gzip.decompress(b)) == ["None", "no content length"]
+    assert at("words", plain.replace(b"Content-Length: ", b"Content-Length: x")) == ["no content length"]
+    assert at("block", plain[:-60]) == ["block is cut off"]
+    assert at("member", a + b[:-30]) == ["None", "gzip member is cut off"]
+    spoilt = bytearray(a)
+    spoilt[40:60] = b"\xff" * 20
+    assert at("broken", bytes(spoilt) + b) == ["None", "gzip member is broken"]
+    assert at("segment", plain.replace(b"WARC-Date", b"WARC-Segment-Number: one\r\nWARC-Date")) == ["segment is not numbered"]
+
+
+def test_part_files_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(W, "FILE_BYTES", 20 * (1000 + W.FRAME))
+    path = write(spark, [(i, "u", f"page {i}") for i in range(90)], segment=1000)
+    files = glob.glob(path.removeprefix("file:") + "/part-*")
+    assert len(files) >= 5 and all(gzip.open(f).read().count(b"WARC/1.0") <= 20 for f in files)
+    assert W.read_archives(spark, path).where("problem IS NULL").count() == 90
