@@ -51,17 +51,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: Column
 
     Both bounds are documented parameters of the classifiers that call this: documents over
     ``max_chars`` are left out of the training sample only, and are scored whole like any other.
-    The picked ids are at most ``max_rows`` rows, which is why they may be broadcast.
+    The picked ids are at most ``max_rows`` rows, which is why they may be broadcast. An id that is
+    labelled both ways is left out; an id with several texts gives the smallest, so that at most
+    ``max_rows`` texts reach the driver.
     """
     picked = (
         labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & fold)
-        .select("doc_id", F.col(label).cast("int").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "y")
+        .groupBy("doc_id")
+        .agg(F.min(label).cast("int").alias("y"), F.max(label).cast("int").alias("z"))
+        .where("y = z")
+        .select("doc_id", "y")
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_rows)
-        .dropDuplicates(["doc_id"])
     )
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-    got = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y").toArrow()
+    got = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).select("doc_id", "text", "y").toArrow()
     return got.sort_by([("doc_id", "ascending"), ("text", "ascending")])
 
 

@@ -11,9 +11,13 @@ may hold normal passages; it keeps at least its worst line as bad). The model is
 driver from at most ``train_rows`` labelled documents of at most ``train_chars`` characters; the
 weights, a few hundred numbers, travel to the executors inside the scoring function.
 
+Texts are scored in blocks of similar numbers of lines and a bounded number of cells, so that one text
+of very many lines costs no more than itself.
+
 Defined results: a null or empty text has no line and scores 0; very long texts are scored whole;
-ties and repeated rows are scored alike; labels other than 0 and 1 are ignored; without labels of
-both classes the score is 1 for any text that is not empty. Other columns never enter a score.
+ties and repeated rows are scored alike; labels other than 0 and 1 are ignored, and so is an id labelled
+both ways; without labels of both classes the score is 1 for any text that is not empty; an empty table
+gives an empty result. Other columns, whatever their names, never enter a score.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kvlake.llm.common import bounded_batches, give_back, id_crc, labelled_sample, slices, table, utf8
 
 TRAIN_ROWS, TRAIN_CHARS, THRESHOLD = 3000, 20_000, 0.7
-HELD_OUT = 2  # remainder of crc32 mod 4
+HELD_OUT, CELLS = 2, 50_000  # remainder of crc32 mod 4; cells of a block
 
 _CLASSES = {
     "upper": [*range(65, 91)],
@@ -132,13 +136,10 @@ class LineCrf:
     def goodness(self, x: np.ndarray, length: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Length-weighted mean marginal of label good by text; NaN for texts without a line."""
         u = self.unary(x, first)
-        (pad, mask), texts = _padded(u, first), np.flatnonzero(np.diff(first) > 0)
+        texts = np.flatnonzero(np.diff(first) > 0)
         good = np.zeros(len(u))
-        for rows, cols in zip(_blocks(mask), _blocks(mask), strict=True):
-            width = int(mask[rows].sum(axis=1).max(initial=0))
-            marginal, _ = forward_backward(pad[rows, :width], mask[cols, :width], self.turn)
-            at = (first[:-1][texts[rows]][:, None] + np.arange(width))[mask[rows, :width]]
-            good[at] = marginal[mask[rows, :width]]
+        for place, mask in _blocks(first):
+            good[place[mask]] = forward_backward(np.where(mask, u[place], 0), mask, self.turn)[0][mask]
         out = np.full(len(first) - 1, np.nan)
         if len(texts):
             out[texts] = np.add.reduceat(good * length, first[texts]) / np.add.reduceat(length, first[texts])
@@ -149,18 +150,20 @@ class LineCrf:
         return np.where(np.isnan(mean), 0.0, 1 / (1 + np.exp(-np.clip(self.slope * np.nan_to_num(mean) + self.cut, -50, 50))))
 
 
-def _blocks(mask: np.ndarray, size: int = 256):
-    """Row slices, so that a long text only widens its own block."""
-    return [slice(i, i + size) for i in range(0, len(mask), size)]
-
-
-def _padded(u: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _blocks(first: np.ndarray, cells: int = CELLS):
+    """(places, mask) of blocks of texts, fewest lines first: places[i, j] is line j of a block's text i where mask is set. A
+    block has at most ``cells`` cells, or one text."""
     n = np.diff(first)
-    n = n[n > 0]
-    mask = np.arange(n.max(initial=0))[None, :] < n[:, None]
-    pad = np.zeros(mask.shape)
-    pad[mask] = u
-    return pad, mask
+    order = np.argsort(n, kind="stable")
+    order, at = order[n[order] > 0], 0
+    while at < len(order):
+        # as many texts as fit at the width of the last of them
+        room = n[order[at:]] * np.arange(1, len(order) - at + 1)
+        to = at + max(1, int(np.searchsorted(room, cells, side="right")))
+        rows, width = order[at:to], int(n[order[to - 1]])
+        mask = np.arange(width)[None, :] < n[rows][:, None]
+        yield np.where(mask, first[:-1][rows][:, None] + np.arange(width), 0), mask
+        at = to
 
 
 def forward_backward(u: np.ndarray, mask: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,12 +230,14 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 120, ridge: float = 1e-3) -
     wide = np.concatenate((z, left, right, np.ones((len(z), 1))), axis=1)
     w = np.zeros(wide.shape[1] + 4)
     w[-5] = 1.0
-    m, v, (_, mask) = np.zeros_like(w), np.zeros_like(w), _padded(np.zeros(len(z)), first)
+    m, v, blocks = np.zeros_like(w), np.zeros_like(w), list(_blocks(first))
     for step in range(1, steps + 1):
-        pad = np.zeros(mask.shape)
-        pad[mask] = wide @ w[:-4]
-        marginal, pairs = forward_backward(pad, mask, w[-4:].reshape(2, 2))
-        slope = np.concatenate((wide.T @ (label - marginal[mask]), (seen - pairs).ravel())) / len(z) - ridge * w
+        u, marginal, pairs = wide @ w[:-4], np.zeros(len(z)), np.zeros((2, 2))
+        for place, mask in blocks:
+            got, changes = forward_backward(np.where(mask, u[place], 0), mask, w[-4:].reshape(2, 2))
+            marginal[place[mask]] = got[mask]
+            pairs += changes
+        slope = np.concatenate((wide.T @ (label - marginal), (seen - pairs).ravel())) / len(z) - ridge * w
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         w += 0.08 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     crf.own, crf.before, crf.after, crf.bias, crf.turn = w[:n], w[n : 2 * n], w[2 * n : 3 * n], float(w[-5]), w[-4:].reshape(2, 2)
