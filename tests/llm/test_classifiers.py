@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kvlake.llm import quality as Q, toxicity as X
+from kvlake.llm.common import labelled_sample
 from tests.conftest import SF
 
 BIG = "/root/testdata/sf0.1"
@@ -104,3 +105,46 @@ def test_odd_rows(spark, odd_docs, make_docs):
             got = {r["doc_id"]: r["s"] for r in odd_docs.withColumn("s", op.score(model, F.col("text"))).collect()}
             assert got[1] == got[2] == empty and all(0 <= s <= 1 for s in got.values())
             assert make_docs([]).withColumn("s", op.score(model, F.col("text"))).collect() == []
+
+
+def test_labels_that_clash_and_ids_that_repeat(spark, make_docs):
+    docs = make_docs([(1, "b text"), (1, "a text"), (1, "c text"), (2, "two"), (3, "three"), (None, "none")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (9, 1)], "doc_id long, toxic int")
+    got = labelled_sample(docs, labels, "toxic", F.lit(True), 10, 100).to_pylist()
+    assert got == [{"doc_id": 1, "text": "a text", "y": 1}, {"doc_id": 3, "text": "three", "y": 0}]
+
+
+def test_one_long_text_costs_no_more_than_itself():
+    first = np.concatenate(([0], np.cumsum([2] * 500 + [50_000] + [0, 3])))
+    blocks = list(Q._blocks(first))
+    assert sum(m.size for _, m in blocks) < 1.2 * first[-1] and max(len(m) for _, m in blocks if m.shape[1] == 50_000) == 1
+    places = np.sort(np.concatenate([p[m] for p, m in blocks]))
+    assert (places == np.arange(first[-1])).all()
+    x = np.random.default_rng(3).normal(size=(first[-1], Q.N_FEATURES)).astype(np.float32)
+    crf = Q.LineCrf(*(np.random.default_rng(4).normal(size=(3, Q.N_FEATURES)) / 9), 0.1, np.array([[0.5, -0.2], [0.1, 0.3]]), np.zeros(Q.N_FEATURES), np.ones(Q.N_FEATURES))
+    good = crf.goodness(x, np.ones(len(x), np.int64), first)
+    assert np.isclose(good[0], slow_marginals(crf.unary(x[:2], np.array([0, 2])), crf.turn).mean()) and np.isclose(good[-1], slow_marginals(crf.unary(x[-3:], np.array([0, 3])), crf.turn).mean())
+    assert np.isnan(good[-2])
+
+
+def test_toxicity_against_a_slow_scorer():
+    rng = np.random.default_rng(5)
+    model = X.Toxicity(rng.normal(size=1 << X.BITS).astype(np.float32) / 50, -0.3)
+    texts = ["You horrible idi0t, g0 away!", "ÄÖ ü 日本 x", "", "...", "a b", "don't re-do e.g. this", "word " * 50]
+    for t, got in zip(texts, model.score(pa.array(texts)), strict=True):
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+        solid = [48 <= b <= 57 or 97 <= b <= 122 or b >= 128 for b in raw]
+        keep = [s or 0 < i < len(raw) - 1 and solid[i - 1] and solid[i + 1] and raw[i] not in b"\0\t\n\x0b\f\r " for i, s in enumerate(solid)]
+        words = bytes(b if k else 32 for b, k in zip(raw, keep)).split(b" ")
+        values = []
+        for w in filter(None, words):
+            marked, found = b" " + w + b" ", []
+            for n in X.SIZES:
+                for i in range(len(marked) - n + 1):
+                    h = marked[i]
+                    for k in range(2, n + 1):
+                        h = (h * 0x01000193 + marked[i + k - 1] + k) % 2**32
+                    found.append(float(model.weight[(h * 0x9E3779B1 % 2**32) >> (32 - X.BITS)]))
+            values.append(sum(found) / max(len(found), 1))
+        want = 1 / (1 + np.exp(0.3 - X.GAIN * np.mean(values))) if values else 0.0
+        assert np.isclose(got, want, atol=1e-4), t
