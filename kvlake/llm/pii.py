@@ -2,7 +2,8 @@
 
 Base spans come from four fixed patterns (e-mail, IP, card, phone), leftmost and non-overlapping
 per kind; matches that fail their check are dropped without another try. They are the seeds. Each
-seed's neighbouring words make lexical patterns. Other identifier-like tokens (with an at sign or
+seed's neighbouring words make lexical patterns; what has over ``LONGEST`` characters without white space is no
+word, wherever it stands. Other identifier-like tokens (with an at sign or
 four digits or more) that stand in the same contexts are instances too, and Spark scores the graph
 of patterns and instances in rounds: a pattern is worth the mean worth of its instances. Seeds are
 worth 1, an unseen instance what the best pattern trusted in an earlier round is worth, and nothing
@@ -15,9 +16,10 @@ Scale: one pass over the texts emits spans and contexts, which are few and short
 those (map-side combined sums per pattern, joins by pattern or value that AQE may split), cut by
 checkpoints.
 
-Defined results: a null or empty text has no span; very long texts are read whole; repeated rows
-get the same spans; ties between kinds of a pattern go to the kind listed first; an empty table gives
-an empty result; columns other than the id and the text are ignored.
+Defined results: a null or empty text has no span; very long texts are read whole, and tokens of any
+length are told apart by all of their characters; repeated rows get the same spans; ties between kinds
+of a pattern go to the kind listed first; an empty table gives an empty result; columns other than the
+id and the text are ignored, and those of clashing names are carried along by ``redact``.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from kvlake.llm.common import bounded_batches, checkpoint, fresh, give_back, table
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SEEDS, MIN_WORTH, LOOK = 5, 0.8, 64
+MIN_SEEDS, MIN_WORTH, LONGEST = 5, 0.8, 64
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -70,15 +72,37 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return out
 
 
+def _before(text: str, at: int) -> tuple[str, int]:
+    """The word that ends before ``at``, white space skipped, and where it begins; empty if it is too long."""
+    end = at
+    while end and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and end - start <= LONGEST and not text[start - 1].isspace():
+        start -= 1
+    return (text[start:end].lower(), start) if end - start <= LONGEST else ("", start)
+
+
+def _after(text: str, at: int) -> str:
+    """The word that begins after ``at``; empty if it is too long."""
+    start = at
+    while start < len(text) and text[start].isspace():
+        start += 1
+    end = start
+    while end < len(text) and end - start <= LONGEST and not text[end].isspace():
+        end += 1
+    return text[start:end].lower() if end - start <= LONGEST else ""
+
+
 def _context(text: str, start: int, end: int) -> list[str]:
     """Lexical patterns: the two words before, the word before and the word after, and more generally
     the word before or the word after alone, without punctuation."""
-    left = text[max(0, start - LOOK) : start].lower().split()[-2:]
-    right = text[end : end + LOOK].lower().split()[:1]
-    out = [f"{' '.join(left)} _"] if len(left) == 2 else []
-    if left and right:
-        out.append(f"{left[-1]} _ {right[0]}")
-    before, after = (_EDGE.sub("", x[-1]) if x else "" for x in (left, right))
+    last, at = _before(text, start)
+    first, right = _before(text, at)[0] if last else "", _after(text, end)
+    out = [f"{first} {last} _"] if first else []
+    if last and right:
+        out.append(f"{last} _ {right}")
+    before, after = _EDGE.sub("", last), _EDGE.sub("", right)
     if before:
         out.append(f"{before} _")
     if after:
@@ -105,12 +129,17 @@ def _tokens(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def _value(token: str) -> str:
+    """The token, or for a long one its digest, which no token can equal: it is longer than any that is kept."""
+    return token if len(token) <= LONGEST else f"{hashlib.sha256(token.encode()).hexdigest()}:{len(token)}"
+
+
 def read_text(text: str | None) -> dict:
     """Base spans, and one record per span or unseen token: kind (-1: unseen), place, value, patterns."""
     spans = base_spans(text)
     seen = []
     for kind, a, b in [*spans, *((-1, a, b) for a, b in (_tokens(text, [s[1:] for s in spans]) if text else ()))]:
-        seen.append({"kind": kind, "start": a, "end": b, "value": text[a:b].lower()[:256], "patterns": _context(text, a, b)})
+        seen.append({"kind": kind, "start": a, "end": b, "value": _value(text[a:b].lower()), "patterns": _context(text, a, b)})
     return {"base": [{"kind": k, "start": a, "end": b} for k, a, b in spans], "seen": seen}
 
 
@@ -166,8 +195,13 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.sort_array(spans), lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _row_key() -> Column:
+    """128 bits of id and text: rows of one key are equal rows."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), read_spans(F.col("text")).alias("r")).select("doc_id", "row_key", "r.base", "r.seen")
+    return docs.select("doc_id", _row_key().alias("row_key"), read_spans(F.col("text")).alias("r")).select("doc_id", "row_key", "r.base", "r.seen")
 
 
 def find(docs: DataFrame, min_seeds: int = MIN_SEEDS, min_worth: float = MIN_WORTH) -> DataFrame:
@@ -208,7 +242,7 @@ def redact(docs: DataFrame) -> DataFrame:
         give_back()
         return out
 
-    joined = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(more, key, "left")
+    joined = docs.withColumn(key, _row_key()).join(more, key, "left")
     done = joined.withColumn("text", pii_redact(text, F.col(found)))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -226,25 +260,3 @@ def _counts() -> list[Column]:
         return F.size(F.filter("base", lambda s: s["kind"] == i)).cast("long").alias(f"n_{KINDS[i]}")
 
     return [one(i) for i in range(len(KINDS))]
-
-
-def naive_spans(text: str | None) -> list[tuple[int, int, int]]:
-    """The base patterns applied one by one with plain regular expressions; for tests."""
-    text, out = text or "", []
-    for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
-        out.append((0, *m.span()))
-    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if all(int(p) <= 255 for p in m[0].split(".")):
-            out.append((1, *m.span()))
-    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
-        d = re.sub("[ -]", "", m[0])
-        if 13 <= len(d) <= 19 and _luhn(d):
-            out.append((2, *m.span()))
-    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
-        if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
-            out.append((3, *m.span()))
-    return out
-
-
-def digest(spans: list[tuple[int, int, int]]) -> str:
-    return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans)).encode()).hexdigest()
