@@ -8,23 +8,31 @@ distance is computed, the stored ones bound it by the triangle inequality, |d(q,
 d(q, x): children and rows that cannot enter the k best are never compared. Scores are exact integer
 inner products; bounds carry a slack for rounding, so nothing that could tie is cut off.
 
+The cells that rows are dealt to are the top level: each has a centre and a covering radius. A query goes
+to its nearest cells first, and with the k-th best score found there to those others that its reach
+still meets; within a cell it goes through the tree of each block.
+
 Defined results: rows that are null or hold null or non-finite components take no part, neither as
 queries nor as candidates; ties go to the smaller id; fewer candidates than k give fewer rows; rows
-with the query's own id are its own; an empty table gives an empty result.
+with the query's own id are its own, and ids that repeat are rows of their own; vectors are compared with
+those of their own length; an empty table gives an empty result; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from kvlake.llm import vectors as V
 from kvlake.llm.common import checkpoint, table
 
-K, EVERY, CELLS, PAGE, FANOUT, SLACK = 5, 50, 32, 160, 12, 1e-6
+K, EVERY, CELLS, FIRST, PAGE, FANOUT, SLACK = 5, 50, (1, 2048), 2, 160, 12, 1e-6
 
 
 @dataclass
@@ -87,17 +95,23 @@ def load(ids: np.ndarray, rows: np.ndarray, top_sq: float, page: int = PAGE, fan
 
 
 class Searcher:
-    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, top_sq: float, k: int):
+    def __init__(self, query_ids: np.ndarray, queries: np.ndarray, top_sq: float, k: int, floors: np.ndarray | None = None):
         # no sum of products exceeds the largest squared norm: below 2^52 doubles are exact
         self.exact = np.float64 if top_sq < 2.0**52 else object
         self.query_ids, self.queries, self.top_sq = query_ids, queries.astype(self.exact), top_sq
         self.lifted = np.concatenate((queries.astype(np.float64), np.zeros((len(queries), 1))), axis=1)
         self.base = (self.lifted**2).sum(axis=1) + top_sq
-        self.best_of = V.Best(len(queries), k, np.int64)
+        self.k, self.floors, self.best_of = k, floors, V.Best(len(queries), k, np.int64, floors)
         self.slack = SLACK * (1 + np.sqrt(self.base.max(initial=0)))
         self.compared = 0
 
-    def feed(self, _: int, tree: Tree) -> None:
+    def __call__(self, tree: Tree) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The rows of one tree that may be among the k best."""
+        self.best_of = V.Best(len(self.queries), self.k, np.int64, self.floors)
+        self.feed(tree)
+        return self.best()
+
+    def feed(self, tree: Tree) -> None:
         tops = np.sqrt(np.maximum(self.base[:, None] - self.top_sq + (tree.pivot**2).sum(axis=1)[None, :1] - 2 * self.lifted @ tree.pivot[:1].T, 0))[:, 0]
         rows = tree.rows.astype(self.exact)
         for q in range(len(self.queries)):
@@ -137,16 +151,46 @@ class Searcher:
         return self.best_of.rows(self.query_ids)
 
 
-def top_k(vectors: DataFrame, queries, k: int = K, cells: int = CELLS, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = V.BLOCK_ROWS, query_rows: int = V.QUERY_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries, k: int = K, cells: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block_rows: int = V.BLOCK_ROWS, query_rows: int = V.QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) by integer inner product of floor(256 x); ``queries`` is a
     condition on vec_id that names the query rows."""
-    rows = checkpoint(V.finite_rows(vectors, lambda c: F.floor(c * 256), True, id_col, vector_col))
-    top = rows.agg(F.max("sq")).first()[0]
-    if top is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    rows = checkpoint(V.finite_rows(vectors, lambda c: F.floor(c.cast("double") * 256), True, id_col, vector_col))
+    found = [_search(part, top, n, queries, k, cells, block_rows, query_rows) for part, top, n in V.by_length(rows)]
+    return V.union(found) if found else rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+
+
+def _search(rows: DataFrame, top: float, n: int, queries, k: int, cells: int | None, block_rows: int, query_rows: int) -> DataFrame:
+    cells = cells or min(max(math.isqrt(n) // 8, CELLS[0]), CELLS[1])
     centre = V.centres(V.lift(V.sample(rows), top), cells)
-    index = V.build_index(rows, centre, top, lambda i, x: load(i, x, top), np.int64, block_rows)
-    return V.search(index, rows.where(queries), np.int64, lambda i, x: Searcher(i, x, top, k), k, "long", query_rows)
+    celled = checkpoint(V.with_cell(rows.select("vec_id", "v"), centre, top))
+    index = V.build_index(celled, lambda i, x: load(i, x, top), np.int64, block_rows)
+    radius = np.full(len(centre), -np.inf)
+    for cell, away in celled.groupBy("cell").agg(F.max("away")).collect():  # one row a cell, of a bounded number
+        radius[cell] = away
+
+    def cells_of(first: bool):
+        @F.arrow_udf("array<int>")
+        def dealt(v: pa.Array, floor: pa.Array) -> pa.Array:
+            q, out = V.flat(V.matrix(v, np.float64)) if len(v) else np.zeros((0, centre.shape[1])), []
+            base = (q * q).sum(axis=1) + top
+            away = np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (centre * centre).sum(axis=1)[None, :] - 2 * q @ centre.T, 0))
+            least = np.where(np.isneginf(radius), np.inf, away - radius)
+            order = np.argsort(away + np.where(np.isneginf(radius), np.inf, 0)[None, :], axis=1, kind="stable")
+            lowest = floor.to_numpy(zero_copy_only=False)
+            for i in range(len(q)):
+                reach = np.inf if np.isneginf(lowest[i]) else np.sqrt(max(base[i] - 2 * lowest[i], 0)) + SLACK * (1 + np.sqrt(base[i]))
+                near, far = order[i, :FIRST], order[i, FIRST:]
+                out.append((near if first else far[least[i, far] <= reach]).astype(np.int32))
+            return pa.array(out, pa.list_(pa.int32()))
+
+        return dealt("v", "floor")
+
+    def step(asks: DataFrame, first: bool) -> DataFrame:
+        return V.meet(index, V.asked(asks, cells_of(first)), lambda i, x, f: Searcher(i, x, top, k, f), k, np.int64, "long", query_rows)
+
+    asks = rows.where(queries).select("vec_id", "v").dropDuplicates(["vec_id", "v"])
+    have = checkpoint(V.best(step(asks.withColumn("floor", F.lit(float("-inf"))), True), k))
+    return V.best(have.drop("rank").unionByName(step(V.floors(asks, have, k), False)), k)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -47,7 +47,7 @@ def test_tree_bounds_avoid_work():
     x = np.floor(256 * cloud(4000, 3, spread=0.05).astype(np.float64)).astype(np.int64)
     ids, top = np.arange(4000), float((x * x).sum(axis=1).max())
     s = M.Searcher(ids[:40], x[:40], top, 5)
-    s.feed(0, M.load(ids, x, top))
+    s.feed(M.load(ids, x, top))
     q, v, score = s.best()
     want = slow(ids.tolist(), x, range(40), 5)
     assert [(a, b) for a, b in zip(v.tolist(), score.tolist())] == [p for q in range(40) for p in want[q]]
@@ -77,7 +77,7 @@ def test_large_components_stay_exact():
     x = np.array([[2**27 + 1, 3], [2**27, 5], [7, 2**27]], dtype=np.int64)
     top = float((x.astype(object) ** 2).sum(axis=1).max())
     s = M.Searcher(np.array([0]), x[:1], top, 2)
-    s.feed(0, M.load(np.arange(3), x, top))
+    s.feed(M.load(np.arange(3), x, top))
     assert s.best()[2].tolist() == [(2**27 + 1) * 2**27 + 15, (2**27 + 1) * 7 + 3 * 2**27]
 
 
@@ -94,17 +94,43 @@ def test_approximate_search_recall(spark):
 def test_hypothesis_tests_abandon_candidates():
     x = cloud(2000, 63, spread=0.3)
     top = float((x.astype(np.float64) ** 2).sum(axis=1).max())
-    turn, centre = A.rotation(64), np.zeros((1, 64))
-    s = A.Scanner(np.arange(50), x[:50], top, turn, centre, 1, 20)
+    turn, want = A.rotation(64), slow(list(range(2000)), x.astype(np.float64), range(50), 20)
+    s = A.Scanner(np.arange(50), x[:50], np.array([want[q][-1][1] for q in range(50)]), top, turn, 20)
+    found = {}
     for a in range(0, 2000, 250):
-        s.feed(0, A.pack(np.arange(a, a + 250), x[a : a + 250], top, turn))
+        q, v, score = s(A.pack(np.arange(a, a + 250), x[a : a + 250], top, turn))
+        for i, j, z in zip(q.tolist(), v.tolist(), score.tolist(), strict=True):
+            found.setdefault(i, set()).add(j)
+            assert z == pytest.approx(float(x[i].astype(np.float64) @ x[j].astype(np.float64)), abs=1e-12)
     assert 0 < s.read < 0.8 * s.offered
-    found, want = {}, slow(list(range(2000)), x.astype(np.float64), range(50), 20)
-    for q, v in zip(*s.best()[:2]):
-        found.setdefault(q, set()).add(v)
     assert sum(len(found[q] & {i for i, _ in want[q]}) for q in want) / 1000 > 0.97
 
 
+def test_doubles_are_kept_and_lengths_are_searched_apart(spark):
+    a, b = 0.1 + 1e-12, 0.1
+    rows = [(0, [1.0, 1.0]), (1, [a, 0.3]), (2, [b, 0.3]), (20, [1.0]), (21, [0.5]), (22, [0.25]), (100, [1.0, 2.0, 3.0]), (50, [3.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = got(A.nearest_neighbours(table, V.every(20)))
+    assert found[0] == [(1, a + 0.3), (2, b + 0.3)] and found[20] == [(50, 3.0), (21, 0.5), (22, 0.25)] and set(found) == {0, 20}
+    exact = got(M.top_k(table, V.every(50)))
+    assert exact[0] == [(1, 256 * (25 + 76)), (2, 256 * (25 + 76))] and [i for i, _ in exact[50]] == [20, 21, 22] and 100 not in exact
+
+
+def test_queries_that_find_too_few_search_all_lists(spark):
+    x = cloud(60, 4)
+    rows = [(i, x[i].tolist(), 0, 7) for i in range(60)]
+    found = got(A.nearest_neighbours(table(spark, rows), V.every(20), lists=30, probes=1))
+    want = slow(list(range(60)), x.astype(np.float64), range(0, 60, 20), 20)
+    assert all(len(found[q]) == 20 for q in want) and all(len({i for i, _ in found[q]} & {i for i, _ in want[q]}) > 15 for q in want)
+
+
+def test_probes_are_measured():
+    x = cloud(2000, 8).astype(np.float64)
+    top = float((x * x).sum(axis=1).max())
+    centre = V.centres(V.lift(x[1000:], top), 30)
+    assert 1 <= A.probes_for(x[:1000], centre, top, 5, 0.5) <= A.probes_for(x[:1000], centre, top, 5, 0.95) <= len(centre)
+
+
 def test_recall_on_the_supplied_vectors(spark):
     found = got(A.query(spark, "/root/testdata/sf0.1"))
     rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").collect()
