@@ -483,8 +483,9 @@ def overwrite(spark, d):
 def bloom_membership(spark, d):
     m = _runs(mutations(spark, d))
     filters = bloom.build(m, "run_id", "key")
-    tried = m.select("run_id", "key").distinct().join(filters, "run_id").withColumn("hit", bloom.probe(F.col("key"), F.col("filter")))
-    size = F.max(F.length("filter") <= F.col("n_keys") * 10 / 8 + 40)
+    sizes = filters.select("run_id", F.length("filter").alias("n"), (F.col("n_keys") * 10 / 8 + 40).alias("most"))
+    tried = bloom.probe(m.select("run_id", "key").distinct(), filters, "run_id", "key").join(sizes, "run_id")
+    size = F.max(F.col("n") <= F.col("most"))
     return tried.groupBy("run_id").agg(F.count("*").alias("n_keys"), F.sum(F.col("hit").cast("long")).alias("n_found"), size.alias("small_enough"))
 
 

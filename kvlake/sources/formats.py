@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import uuid
 from glob import glob
+from itertools import islice
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
@@ -19,6 +20,9 @@ from kvlake.functions.coding import internal_key
 from kvlake.sources import edits, sstable, wal
 
 
+FILE_ROWS = 500_000
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -52,11 +56,37 @@ class WalReader(_Reader):
     columns = _names(wal.SCHEMA)
 
     def partitions(self):
-        split = int(self.options.get("split", 64 << 20)) // wal.BLOCK * wal.BLOCK or wal.BLOCK
+        split = int(self.options.get("split", 64 << 20)) // wal.BLOCK * wal.BLOCK or wal.BLOCK  # on block borders
         return [_Part(f, a, a + split) for f in _files(self.options["path"], "*.log") for a in range(0, max(1, os.path.getsize(f)), split)]
 
-    def rows(self, file, data, start, stop):
-        return wal.log_rows(file, data, self.options.get("verify", "true") == "true", start, stop)
+    def read(self, partition):
+        """Only the split's own blocks are read, the one before for its place, and what its last record still takes."""
+        file, start, stop = partition.value
+        base = max(0, start - wal.BLOCK)
+        with open(file, "rb") as f:
+            end = self.record_end(f, stop)
+            f.seek(base)
+            data = f.read(end - base)
+        for r in wal.log_rows(file, data, self.options.get("verify", "true") == "true", start - base, stop - base):
+            yield tuple((r | {"offset": r["offset"] + base}).get(c) for c in self.columns)
+
+    @staticmethod
+    def record_end(f, at: int) -> int:
+        """The end of the record that goes on at ``at``, a block border, by its fragments' headers."""
+        size = f.seek(0, os.SEEK_END)
+        while at < size:
+            room = wal.BLOCK - at % wal.BLOCK
+            if room >= wal.HEADER:
+                f.seek(at)
+                head = f.read(wal.HEADER)
+                if len(head) < wal.HEADER or head[6] not in (wal.MIDDLE, wal.LAST):
+                    return at
+                at += min(room, wal.HEADER + int.from_bytes(head[4:6], "little"))
+                if head[6] == wal.LAST:
+                    return min(at, size)
+            else:
+                at += room
+        return size
 
 
 class TableReader(_Reader):
@@ -102,27 +132,30 @@ class _Message(WriterCommitMessage):
 
 
 class _Writer(DataSourceWriter):
-    """Task files are written under temporary names and renamed at commit."""
+    """Task files, of at most ``FILE_ROWS`` rows each, are written under temporary names and renamed at commit."""
 
     suffix = ""
 
-    def __init__(self, options):
-        self.path = options["path"].removeprefix("file://").removeprefix("file:")
+    def __init__(self, options, overwrite: bool):
+        self.path, self.overwrite = options["path"].removeprefix("file://").removeprefix("file:"), overwrite
 
     def content(self, rows) -> bytes:
         raise NotImplementedError
 
     def write(self, iterator):
-        rows = [r.asDict() for r in iterator]
-        if not rows:
-            return _Message([])
-        os.makedirs(self.path, exist_ok=True)
-        temp = os.path.join(self.path, f"{uuid.uuid4().hex}.dbtmp")
-        with open(temp, "wb") as f:
-            f.write(self.content(rows))
-        return _Message([(temp, self.suffix)])
+        made = []
+        while rows := [r.asDict() for r in islice(iterator, FILE_ROWS)]:
+            os.makedirs(self.path, exist_ok=True)
+            temp = os.path.join(self.path, f"{uuid.uuid4().hex}.dbtmp")
+            with open(temp, "wb") as f:
+                f.write(self.content(rows))
+            made.append((temp, self.suffix))
+        return _Message(made)
 
     def commit(self, messages):
+        if self.overwrite:
+            for old in _files(self.path, f"*.{self.suffix}") if os.path.isdir(self.path) else ():
+                os.remove(old)
         taken = [int(x.split(".")[0]) for x in os.listdir(self.path) if x.split(".")[0].isdigit()] if os.path.isdir(self.path) else []
         number = max(taken, default=0)
         for m in messages:
@@ -157,7 +190,7 @@ class _Source(DataSource):
         return self.reads(self.options)
 
     def writer(self, schema, overwrite):
-        return self.writes(self.options)
+        return self.writes(self.options, overwrite)
 
 
 class WalSource(_Source):

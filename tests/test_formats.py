@@ -2,6 +2,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import functions as F
 
 from kvlake.functions.coding import internal_key
 from kvlake.operators import manifest, read
@@ -138,3 +139,34 @@ def test_data_sources(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m/MANIFEST-000001").write_bytes(wal.log_bytes([edits.edit_bytes(EDIT)]))
     assert spark.read.format("kv_manifest").load(str(tmp_path / "m")).count() == 7
+
+
+def test_overwrite_splits_and_many_files(spark, tmp_path, monkeypatch):
+    formats.register(spark)
+    path = str(tmp_path / "logs")
+    rows = spark.range(3000).select(F.format_string("%06d", "id").cast("binary").alias("key"), (F.col("id") + 1).alias("seq"), F.lit(1).cast("byte").alias("op"), F.repeat(F.lit("v"), (F.col("id") % 97 * 40).cast("int")).cast("binary").alias("value"))
+    shaped = rows.selectExpr("cast(null as string) file", "cast(null as long) offset", "key", "seq", "op", "value", "cast(null as string) problem")
+    for _ in range(2):
+        shaped.coalesce(1).write.format("kv_wal").mode("overwrite").save(path)
+    back = spark.read.format("kv_wal").option("split", 3 * 32768).load(path)
+    assert back.rdd.getNumPartitions() > 10 and back.where("problem IS NOT NULL").count() == 0
+    assert sorted((r["seq"], len(r["value"])) for r in back.collect()) == [(i + 1, i % 97 * 40) for i in range(3000)]
+    offsets = [r["offset"] for r in back.collect()]
+    assert len(set(offsets)) == 3000
+    shaped.coalesce(1).write.format("kv_wal").mode("append").save(path)
+    assert spark.read.format("kv_wal").load(path).count() == 6000
+
+
+def test_filters_in_parts_equal_whole_ones(spark):
+    from kvlake.functions import bloom
+
+    rows = spark.range(2000).select((F.col("id") % 3).alias("run"), F.concat(F.lit("k"), F.col("id").cast("string")).alias("key")).repartition(5)
+    built = bloom.build(rows, "run", "key")
+    for r in built.collect():
+        keys = [f"k{i}".encode() for i in range(2000) if i % 3 == r["run"]]
+        assert bytes(r["filter"]) == bloom.filter_of(keys) and r["n_keys"] == len(keys)
+    asks = rows.unionByName(rows.select("run", F.concat("key", F.lit("!")).alias("key"))).unionByName(rows.select(F.lit(9).cast("long").alias("run"), "key").limit(5))
+    for limit in (1 << 20, 10):
+        got = {(r["run"], r["key"]): r["hit"] for r in bloom.probe(asks, built, "run", "key", limit=limit).collect()}
+        assert all(v for (run, k), v in got.items() if run < 9 and not k.endswith("!")) and not any(v for (run, _), v in got.items() if run == 9)
+        assert sum(v for (_, k), v in got.items() if k.endswith("!")) < 80
