@@ -133,33 +133,30 @@ def previous(muts: DataFrame, key, snapshot: int | None = None, order: Order = b
 
 
 def _beside(muts: DataFrame, probes: DataFrame, snapshot: int | None, ahead: bool) -> DataFrame:
-    """The nearest live key at or beyond each probe. Keys are cut into ranges by a global sort; within a
-    range it is a running value, and between ranges only one edge key per range is carried over."""
-    live = visible(muts, snapshot).select("key", F.lit(None).cast("string").alias("probe"), F.col("key").alias("found"))
-    asks = probes.select(F.col("key"), F.col("key").alias("probe"), F.lit(None).cast(live.schema["key"].dataType).alias("found"))
-    both = live.unionByName(asks.withColumn("probe", F.col("probe").cast("string")))
-    ranked = pinned(both.repartitionByRange("key").withColumn("part", F.spark_partition_id()))
+    """(probe, key, value) of the nearest live row at or beyond each distinct probe. Keys are cut into ranges by a global sort;
+    within a range it is a running value, and between ranges only one edge row per range is carried over."""
+    live = visible(muts, snapshot).select("key", F.lit(False).alias("asked"), F.struct("key", "value").alias("found"))
+    asks = probes.select("key").distinct().select("key", F.lit(True).alias("asked"), F.lit(None).cast(live.schema["found"].dataType).alias("found"))
+    ranked = pinned(live.unionByName(asks).repartitionByRange("key").withColumn("part", F.spark_partition_id()))
     # rows come from the far side, equal live keys before probes, so that the frame only ever grows
-    order = [F.col("key").desc() if ahead else F.col("key").asc(), F.col("found").isNull().asc()]
+    order = [F.col("key").desc() if ahead else F.col("key").asc(), F.col("asked").asc()]
     near = F.last("found", ignorenulls=True).over(W.partitionBy("part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    inside = ranked.withColumn("near", near)
-    edges = ranked.where("found IS NOT NULL").groupBy("part").agg((F.min if ahead else F.max)("found").alias("edge"))
+    edges = ranked.where("NOT asked").groupBy("part").agg((F.min_by if ahead else F.max_by)("found", "key").alias("edge"))
     carry = edges.alias("e").join(ranked.select("part").distinct().alias("p"), (F.col("e.part") > F.col("p.part")) if ahead else (F.col("e.part") < F.col("p.part")))
-    carry = carry.groupBy("p.part").agg((F.min if ahead else F.max)("e.edge").alias("edge"))
-    return inside.where("probe IS NOT NULL").join(F.broadcast(carry), "part", "left").select(F.col("key").alias("probe"), F.coalesce("near", "edge").alias("key"))
+    carry = carry.groupBy("p.part").agg((F.min_by if ahead else F.max_by)("e.edge", "e.edge.key").alias("edge"))
+    met = ranked.withColumn("near", near).where("asked").join(F.broadcast(carry), "part", "left").select(F.col("key").alias("probe"), F.coalesce("near", "edge").alias("m"))
+    return met.select("probe", "m.key", "m.value")
 
 
 def seek_many(muts: DataFrame, probes: DataFrame, snapshot: int | None = None) -> DataFrame:
     """(probe, key, value): for every row of ``probes`` (column key) the first live row at or after it,
-    nulls if there is none. Distinct probes."""
-    near = _beside(muts, probes.select("key").distinct(), snapshot, True)
-    return near.join(visible(muts, snapshot).select("key", "value"), "key", "left").select("probe", "key", "value")
+    nulls if there is none. Distinct probes. The log is read and reduced to live rows once."""
+    return _beside(muts, probes, snapshot, True)
 
 
 def floor_many(muts: DataFrame, probes: DataFrame, snapshot: int | None = None) -> DataFrame:
     """(probe, key, value): the last live row at or before every probe."""
-    near = _beside(muts, probes.select("key").distinct(), snapshot, False)
-    return near.join(visible(muts, snapshot).select("key", "value"), "key", "left").select("probe", "key", "value")
+    return _beside(muts, probes, snapshot, False)
 
 
 def neighbours(muts: DataFrame, snapshot: int | None = None) -> DataFrame:
