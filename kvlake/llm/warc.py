@@ -40,7 +40,7 @@ from uuid import uuid4
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from kvlake.llm.common import bounded_batches, checkpoint, ensure_checkpoint_dir, table
+from kvlake.llm.common import bounded_batches, checkpoint, ensure_checkpoint_dir, remove, table
 
 SEGMENT, FRAME, MIN_BYTES, FILE_BYTES = 1 << 20, 1 << 16, 0, 1_900_000_000
 _DATE = "2024-01-01T00:00:00Z"
@@ -296,6 +296,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     path = archive_folder(spark)
     write_archives(table(spark, sf_dir, "pages"), path)
     read = checkpoint(read_archives(spark, path, payloads=False))
+    remove(spark, path)
     sizes = read.where("type = 'response'").select(F.col("record_id").alias("kept"), F.col("payload_bytes").alias("kept_bytes")).dropDuplicates(["kept"])
     joined = read.join(sizes, F.coalesce("refers_to", "record_id") == F.col("kept"), "left")
     return joined.select(_page_of("record_id").alias("page_id"), F.col("kept_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), _page_of("refers_to").alias("refers_to"))
