@@ -196,11 +196,17 @@ def hidden_versions(muts: DataFrame, snapshot: int | None = None, order: Order =
 
 def as_of_join(probes: DataFrame, muts: DataFrame, key: str = "key", at: str = "as_of", order: Order = bytewise) -> DataFrame:
     """``probes`` with the value (and its seq) that each row's key had at its own sequence number, nulls if
-    absent or deleted. Probes and versions are merged in one sorted pass per key, never paired up."""
-    log = muts.select(order(F.col("key")).alias("_k"), F.col("seq").alias("_t"), F.struct("seq", "op", "value").alias("_v"), F.lit(None).cast(probes.schema).alias("_p"))
-    asks = probes.select(order(F.col(key)).alias("_k"), F.col(at).alias("_t"), F.lit(None).cast(log.schema["_v"].dataType).alias("_v"), F.struct(*probes.columns).alias("_p"))
-    w = W.partitionBy("_k").orderBy("_t", F.col("_p").isNotNull()).rowsBetween(W.unboundedPreceding, 0)
-    met = log.unionByName(asks).withColumn("_l", F.last("_v", ignorenulls=True).over(w)).where("_p IS NOT NULL")
+    absent or deleted. Probes and versions are merged in one pass in order of key and sequence, never paired up. Ranges of that
+    order are merged in tasks of their own, so that a key with very many rows is split, and the last version of each
+    range is carried over to those behind it."""
+    log = muts.select(order(F.col("key")).alias("_k"), F.col("seq").alias("_t"), F.lit(False).alias("_ask"), F.struct("seq", "op", "value").alias("_v"), F.lit(None).cast(probes.schema).alias("_p"))
+    asks = probes.select(order(F.col(key)).alias("_k"), F.col(at).alias("_t"), F.lit(True).alias("_ask"), F.lit(None).cast(log.schema["_v"].dataType).alias("_v"), F.struct(*probes.columns).alias("_p"))
+    ranked = pinned(log.unionByName(asks).repartitionByRange("_k", "_t", "_ask").withColumn("_part", F.spark_partition_id()))
+    near = F.last("_v", ignorenulls=True).over(W.partitionBy("_part", "_k").orderBy("_t", "_ask").rowsBetween(W.unboundedPreceding, 0))
+    edges = ranked.where("NOT _ask").groupBy("_part").agg(F.max(F.struct("_k", "_t", "_v")).alias("edge"))
+    carry = edges.alias("e").join(ranked.select("_part").distinct().alias("p"), F.col("e._part") < F.col("p._part")).groupBy("p._part").agg(F.max("e.edge").alias("edge"))
+    met = ranked.withColumn("_l", near).where("_ask").join(F.broadcast(carry), "_part", "left")
+    met = met.withColumn("_l", F.coalesce("_l", F.when(F.col("edge._k").eqNullSafe(F.col("_k")), F.col("edge._v"))))
     live = F.col("_l.op") == PUT
     return met.select("_p.*", F.when(live, F.col("_l.seq")).alias("value_seq"), F.when(live, F.col("_l.value")).alias("value"))
 
