@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F, Window as W
 
 from kvlake.operators.intervals import join_ranges, small
+from kvlake.plans.scratch import pinned
 
 
 def run_metadata(muts: DataFrame, run: str = "run_id") -> DataFrame:
@@ -97,16 +98,28 @@ def exact_sizes(muts: DataFrame, ranges: DataFrame) -> DataFrame:
 def approximate_sizes(files: DataFrame, ranges: DataFrame) -> DataFrame:
     """(range_id, n_bytes) from metadata only: offset of hi less offset of lo, where a file before a key
     counts whole, one after it not at all, and one around it half."""
-    def offset(key: Column) -> Column:
-        return F.when(key.isNull(), 0).when(F.col("largest_key") < key, F.col("file_size")).when(F.col("smallest_key") > key, 0).otherwise(F.floor(F.col("file_size") / 2))
-
-    span = F.sum(F.when(F.col("hi").isNull(), F.col("file_size")).otherwise(offset(F.col("hi"))) - offset(F.col("lo")))
-    return _sizes(files, ranges, span)
-
-
-def _sizes(files: DataFrame, ranges: DataFrame, span: Column) -> DataFrame:
-    pairs = files.withColumn("_k", F.lit(1)).join(small(ranges.withColumn("_k", F.lit(1))), "_k")
-    return pairs.groupBy("range_id").agg(F.greatest(span, F.lit(0)).cast("long").alias("n_bytes"))
+    both = ranges.select("range_id", F.explode(F.array(F.struct(F.lit(1).alias("sign"), F.col("hi").alias("key")), F.struct(F.lit(-1).alias("sign"), F.col("lo").alias("key")))).alias("e")).select("range_id", "e.sign", "e.key")
+    asks = both.where(F.col("key").isNotNull()).select("range_id", "sign", "key", F.lit(1).alias("place"), F.lit(0).cast("long").alias("bytes"))
+    half = F.floor(F.col("file_size") / 2).cast("long")
+    # a file's lower half counts from its smallest key on, the rest beyond its largest
+    none = (F.lit(None).cast(ranges.schema["range_id"].dataType).alias("range_id"), F.lit(None).cast("int").alias("sign"))
+    points = files.select(*none, F.col("smallest_key").alias("key"), F.lit(0).alias("place"), half.alias("bytes")).unionByName(files.select(*none, F.col("largest_key").alias("key"), F.lit(2).alias("place"), (F.col("file_size") - half).cast("long").alias("bytes")))
+    at = running_sum(points.unionByName(asks), ["key", "place"], "bytes", "upto").where(F.col("sign").isNotNull())
+    total = files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).cast("long"))
+    ends = both.where(F.col("key").isNull() & (F.col("sign") == 1)).select("range_id", "sign", total.scalar().alias("upto"))
+    span = at.select("range_id", "sign", "upto").unionByName(ends).groupBy("range_id").agg(F.sum(F.col("sign") * F.col("upto")).alias("n"))
+    return ranges.select("range_id").join(span, "range_id", "left").select("range_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).cast("long").alias("n_bytes"))
+
+
+def running_sum(rows: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``rows`` with the sum of ``value`` up to and with their own place in ``order``: ranges of rows are summed in tasks of
+    their own, and one total a range is carried over."""
+    part = "_part"
+    dealt = pinned(rows.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    inside = F.sum(value).over(W.partitionBy(part).orderBy(*order))
+    totals = dealt.groupBy(part).agg(F.sum(value).alias("_sum"))
+    before = totals.alias("a").join(totals.alias("b"), F.col("b._part") < F.col("a._part")).groupBy("a._part").agg(F.sum("b._sum").alias("_before"))
+    return dealt.withColumn(name, inside).join(F.broadcast(before), part, "left").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop(part, "_before")
 
 
 def next_level_overlap(files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ the rest of their metadata, for counters the number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def live_files(edits: DataFrame) -> DataFrame:
@@ -34,6 +34,15 @@ def missing_files(live: DataFrame, listing: DataFrame) -> DataFrame:
     return live.join(listing.select("number").distinct(), "number", "left_anti")
 
 
+_NAMES = {"log": "%06d.log", "table": "%06d.ldb", "old_table": "%06d.sst", "temp": "%06d.dbtmp", "manifest": "MANIFEST-%06d"}
+_FIXED = {"current": "CURRENT", "lock": "LOCK", "info_log": "LOG", "old_info_log": "LOG.old"}
+
+
+def file_name(number: Column | int | None, kind: str) -> Column:
+    """Name of a file of some kind; current, lock and log files have none of their own number."""
+    return F.lit(_FIXED[kind]) if kind in _FIXED else F.format_string(_NAMES[kind], F.lit(number) if isinstance(number, int) else number)
+
+
 def parse_names(listing: DataFrame, name: str = "name") -> DataFrame:
     """``listing`` with the type and number of each recognised file name, nulls for others. Numbers over
     64 bits are not recognised."""

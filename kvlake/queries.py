@@ -9,14 +9,16 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from kvlake.functions import bloom
+from kvlake.functions.coding import crc32c
 from kvlake.functions.keys import padded, reverse_bytewise
 from kvlake.operators import compact, files as fs, histogram, manifest, merge, mutate, read
 from kvlake.plans.scratch import shared_folder
 from kvlake.plans.store import Store
-from kvlake.sources import sstable, wal
+from kvlake.sources import dump, edits, sstable, wal
 from kvlake.streaming import ingest
 
 
@@ -63,7 +65,7 @@ def _manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits from ``lineitem``: the n-th line of an order adds the file, returned lines delete it."""
-    li = _lines(spark, sf_dir).where("l_orderkey % 7 = 0")
+    li = _lines(spark, sf_dir)
     return li.select(
         F.col("l_linenumber").cast("long").alias("edit_id"), F.when(F.col("flag") == "R", "delete").otherwise("add").alias("kind"),
         (F.col("l_orderkey") % 3).cast("int").alias("level"), F.col("l_orderkey").alias("number"), F.col("quantity").alias("file_size"),
@@ -77,7 +79,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keys to look for, some absent: customers' numbers times three."""
-    return _t(spark, sf_dir, "customer").select(padded(F.col("c_custkey") * 3).alias("key")).where("c_custkey <= 400")
+    return _t(spark, sf_dir, "customer").select(padded(F.col("c_custkey") * 3).alias("key"))
 
 
 def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +106,7 @@ v AS (SELECT key, seq, value FROM n WHERE op = 1),
 l AS (SELECT key, seq, value FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op = 1),
 o AS (SELECT printf('%016d', o_orderkey) AS key, o_orderkey AS seq, 1 AS op, o_orderpriority AS value,
   o_orderkey // ((SELECT max(o_orderkey) FROM orders) // 5 + 1) AS run_id FROM orders),
-p AS (SELECT printf('%016d', c_custkey * 3) AS key FROM customer WHERE c_custkey <= 400),
+p AS (SELECT printf('%016d', c_custkey * 3) AS key FROM customer),
 g AS (SELECT CAST(n_nationkey AS BIGINT) AS range_id, CASE WHEN n_nationkey > 0 THEN printf('%016d', CAST(n_nationkey AS BIGINT) * 7) END AS lo,
   CASE WHEN n_nationkey < 24 THEN printf('%016d', CAST(n_nationkey AS BIGINT) * 11 + 5) END AS hi FROM nation),
 x AS (SELECT run_id, min(key) AS smallest_key, max(key) AS largest_key, min(seq) AS smallest_seq, max(seq) AS largest_seq, count(*) AS num_entries,
@@ -118,7 +120,7 @@ f AS (SELECT 0 AS level, run_id AS number, file_size, smallest_key, largest_key,
   UNION ALL SELECT 2, run_id + 20, file_size, smallest_key, largest_key, num_entries FROM ox2),
 li AS (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS flag, max(l_partkey) AS part, CAST(max(l_quantity) AS BIGINT) AS quantity FROM lineitem GROUP BY 1, 2),
 ed AS (SELECT CAST(l_linenumber AS BIGINT) AS edit_id, CASE WHEN flag = 'R' THEN 'delete' ELSE 'add' END AS kind,
-  CAST(l_orderkey % 3 AS INTEGER) AS level, l_orderkey AS number, quantity AS file_size FROM li WHERE l_orderkey % 7 = 0),
+  CAST(l_orderkey % 3 AS INTEGER) AS level, l_orderkey AS number, quantity AS file_size FROM li),
 lv AS (SELECT level, number, file_size, kind FROM ed QUALIFY row_number() OVER (PARTITION BY level, number ORDER BY edit_id DESC) = 1),
 bt AS (SELECT l_orderkey AS batch_id, l_linenumber AS pos, CASE WHEN flag = 'R' THEN 0 ELSE 1 END AS op, printf('%016d', part % 50) AS key,
   CASE WHEN flag = 'R' THEN NULL ELSE CAST(quantity AS VARCHAR) END AS value FROM li),
@@ -239,10 +241,11 @@ def hidden_versions(spark, d):
     return read.hidden_versions(m, _half(m))
 
 
-@_register("asof_join", "SELECT a.event_id, a.key, a.as_of, CASE WHEN m.op = 1 THEN m.seq END AS value_seq, m.value FROM (SELECT event_id, printf('%016d', (user_id * 13 + event_id) % 160) AS key, event_id AS as_of FROM events) a ASOF LEFT JOIN m ON a.key = m.key AND a.as_of >= m.seq")
+@_register("asof_join", "SELECT a.event_id, a.key, a.as_of, CASE WHEN m.op = 1 THEN m.seq END AS value_seq, m.value FROM (SELECT event_id, printf('%016d', (user_id * 13 + event_id) % (SELECT max(user_id) + 11 FROM events)) AS key, event_id AS as_of FROM events) a ASOF LEFT JOIN m ON a.key = m.key AND a.as_of >= m.seq")
 def asof_join(spark, d):
     e = _t(spark, d, "events")
-    asks = e.select("event_id", padded((F.col("user_id") * 13 + F.col("event_id")) % 160).alias("key"), F.col("event_id").alias("as_of"))
+    domain = e.agg(F.max("user_id")).first()[0] + 11  # all keys and ten absent ones
+    asks = e.select("event_id", padded((F.col("user_id") * 13 + F.col("event_id")) % domain).alias("key"), F.col("event_id").alias("as_of"))
     return read.as_of_join(asks, mutations(spark, d))
 
 
@@ -380,15 +383,16 @@ def manifest_replay(spark, d):
     return manifest.live_files(_edits(spark, d))
 
 
-@_register("obsolete_files", "SELECT o_orderkey AS number FROM orders WHERE o_orderkey % 7 = 0 AND o_orderkey NOT IN (SELECT number FROM lv WHERE kind = 'add')")
+@_register("obsolete_files", "SELECT o_orderkey AS number FROM orders WHERE o_orderkey NOT IN (SELECT number FROM lv WHERE kind = 'add')")
 def obsolete_files(spark, d):
-    listing = _t(spark, d, "orders").where("o_orderkey % 7 = 0").select(F.col("o_orderkey").alias("number"))
+    listing = _t(spark, d, "orders").select(F.col("o_orderkey").alias("number"))
     return manifest.obsolete_files(listing, manifest.live_files(_edits(spark, d)))
 
 
-@_register("missing_files", "SELECT number, level, file_size FROM lv WHERE kind = 'add' AND number NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 2 = 0)")
+@_register("missing_files", "SELECT number, level, file_size FROM lv WHERE kind = 'add' AND number NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F')")
 def missing_files(spark, d):
-    listing = _t(spark, d, "orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("number"))
+    """The files of fulfilled orders are gone from the disk."""
+    listing = _t(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("number"))
     return manifest.missing_files(manifest.live_files(_edits(spark, d)), listing)
 
 
@@ -420,9 +424,9 @@ def histogram_moments(spark, d):
     return m.select("n", F.round("total", 4).alias("total"), "low", "high", F.round("average", 6).alias("average"), F.round("deviation", 6).alias("deviation"))
 
 
-@_register("custom_order_scan", "SELECT * FROM l ORDER BY reverse(key) LIMIT 40")
+@_register("custom_order_scan", "SELECT * FROM l ORDER BY reverse(key)")
 def custom_order_scan(spark, d):
-    return read.scan(mutations(spark, d), order=reverse_bytewise, limit=40)
+    return read.scan(mutations(spark, d), order=reverse_bytewise)
 
 
 @_register("read_seq", "SELECT count(*) AS n, CAST(sum(strlen(key) + strlen(value)) AS BIGINT) AS n_bytes FROM l")
@@ -431,10 +435,10 @@ def read_seq(spark, d):
     return live.agg(F.count("*").alias("n"), F.sum(F.octet_length("key") + F.octet_length("value")).cast("long").alias("n_bytes"))
 
 
-@_register("read_reverse", "SELECT *, CAST(row_number() OVER (ORDER BY key DESC) AS INTEGER) AS place FROM v ORDER BY key DESC LIMIT 100")
+@_register("read_reverse", "SELECT * FROM v ORDER BY key DESC")
 def read_reverse(spark, d):
     m = mutations(spark, d)
-    return read.scan(m, snapshot=_half(m), reverse=True, limit=100).withColumn("place", F.row_number().over(W.orderBy(F.desc("key"))))
+    return read.scan(m, snapshot=_half(m), reverse=True)
 
 
 @_register("read_random", "SELECT count(*) AS asked, count(l.key) AS found FROM (SELECT printf('%016d', l_partkey) AS key FROM lineitem) a LEFT JOIN l USING (key)")
@@ -534,3 +538,185 @@ def store_compacted_read(spark, d):
     out = store.scan().select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
     store.close()
     return out
+
+def _text(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("key").cast("string").alias("key"), "seq", F.col("op").cast("int").alias("op"), F.col("value").cast("string").alias("value"))
+
+
+@_register("wal_split_read", "SELECT key, seq, op, value FROM m")
+def wal_split_read(spark, d):
+    """Logs of all mutations read in splits of three blocks each: a split takes the records that begin in it."""
+    split = 3 * wal.BLOCK
+
+    def decode(batches):
+        for batch in batches:
+            for data in batch.column("content"):
+                raw = data.as_py()
+                for at in range(0, len(raw), split):
+                    yield from wal.in_batches(wal.log_rows("", raw, True, at, at + split), wal.ARROW)
+
+    return _text(wal.as_logs(mutations(spark, d), batch_rows=300, log_bytes_each=1 << 20).select("content").mapInArrow(decode, wal.SCHEMA).where("problem IS NULL"))
+
+
+@_register("manifest_roundtrip", "SELECT level, number, file_size, smallest_key, largest_key FROM f WHERE level > 0")
+def manifest_roundtrip(spark, d):
+    """Edits that add all files and then delete those of level 0, written as manifest records and read back."""
+    files = _manifest(spark, d).select("level", "number", "file_size", F.col("smallest_key").cast("binary").alias("lo"), F.col("largest_key").cast("binary").alias("hi"))
+
+    def code(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            adds = [{"kind": "add", "level": r["level"], "number": r["number"], "file_size": r["file_size"], "smallest_key": r["lo"], "smallest_seq": 1, "largest_key": r["hi"], "largest_seq": 2} for r in rows]
+            drops = [{"kind": "delete", "level": r["level"], "number": r["number"]} for r in rows if r["level"] == 0]
+            records = [edits.edit_bytes([{"kind": "comparator", "name": "bytewise"}, *adds]), edits.edit_bytes([*drops, {"kind": "next_file", "number": 99}])]
+            yield from wal.in_batches(edits.manifest_rows("", wal.log_bytes(records)), edits.ARROW)
+
+    live = manifest.live_files(files.mapInArrow(code, edits.SCHEMA).drop("file", "problem", "name"))
+    return live.select("level", "number", "file_size", F.col("smallest_key").cast("string").alias("smallest_key"), F.col("largest_key").cast("string").alias("largest_key"))
+
+
+@_register(
+    "file_names",
+    """SELECT name, CASE k WHEN 0 THEN 'log' WHEN 1 THEN 'table' WHEN 2 THEN 'table' WHEN 3 THEN 'temp' WHEN 4 THEN 'manifest' END AS type, CASE WHEN k < 5 THEN o_orderkey END AS number
+    FROM (SELECT o_orderkey, o_orderkey % 6 AS k, CASE o_orderkey % 6 WHEN 0 THEN printf('%06d.log', o_orderkey) WHEN 1 THEN printf('%06d.ldb', o_orderkey) WHEN 2 THEN printf('%06d.sst', o_orderkey)
+    WHEN 3 THEN printf('%06d.dbtmp', o_orderkey) WHEN 4 THEN printf('MANIFEST-%06d', o_orderkey) ELSE printf('%06d.bak', o_orderkey) END AS name FROM orders)""",
+    base=False,
+)
+def file_names(spark, d):
+    """Names of all kinds are built for every order, and told apart again."""
+    n, made = F.col("o_orderkey"), None
+    for i, kind in enumerate(("log", "table", "old_table", "temp", "manifest")):
+        made = (F if made is None else made).when(n % 6 == i, manifest.file_name(n, kind))
+    listing = _t(spark, d, "orders").select(made.otherwise(F.format_string("%06d.bak", n)).alias("name"))
+    return manifest.parse_names(listing).select("name", "type", "number")
+
+
+@_register("ranges_with_files", "SELECT range_id, EXISTS (SELECT 1 FROM ox WHERE (lo IS NULL OR largest_key >= lo) AND (hi IS NULL OR smallest_key <= hi)) AS any_file FROM g")
+def ranges_with_files(spark, d):
+    """Whether any file meets each range."""
+    ranges, met = _ranges(spark, d), fs.meeting_ranges(fs.run_metadata(_order_runs(order_log(spark, d))), _ranges(spark, d))
+    return ranges.select("range_id").join(met.select("range_id").distinct().withColumn("met", F.lit(True)), "range_id", "left").select("range_id", F.coalesce("met", F.lit(False)).alias("any_file"))
+
+
+@_register("output_cuts", "SELECT key, CAST(coalesce(sum(strlen(key) + strlen(value)) OVER (PARTITION BY run_id ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 4000 AS BIGINT) AS file_no FROM o")
+def output_cuts(spark, d):
+    """The output file of every order's row: each run is cut by running bytes."""
+    rows = _order_runs(order_log(spark, d))
+    return fs.output_cuts(rows, F.octet_length("key") + F.octet_length("value"), 4000, part="run_id").select("key", F.col("file_no").cast("long").alias("file_no"))
+
+
+@_register("dump_lines", "SELECT chr(39) || key || chr(39) || ' @ ' || seq || ' : ' || CASE WHEN op = 1 THEN 'put => ' || chr(39) || value || chr(39) ELSE 'del' END AS line FROM m")
+def dump_lines(spark, d):
+    return dump.dump_mutations(mutations(spark, d))
+
+
+def _store(spark, **more) -> Store:
+    return Store.open(spark, shared_folder(spark, "store"), create_if_missing=True, **more)
+
+
+@_register("read_while_writing", "SELECT * FROM v")
+def read_while_writing(spark, d):
+    """A snapshot taken at half the log, read after the rest was written and all of it compacted."""
+    m = mutations(spark, d)
+    half = _half(m)
+    with _store(spark) as store:
+        store.ingest(m.where(F.col("seq") <= half))
+        pin = store.snapshot()
+        store.ingest(m.where(F.col("seq") > half))
+        store.compact()
+        return store.scan(snapshot=pin).select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
+
+
+@_register("store_incremental", "SELECT * FROM l")
+def store_incremental(spark, d):
+    """Four runs, put as deep as nothing is in their way, compacted level by level as scores ask for it, and vacuumed."""
+    m = _runs(mutations(spark, d))
+    with _store(spark, flush_to=2) as store:
+        for i in range(4):
+            store.ingest(m.where(F.col("run_id") == i))
+            store.maintain()
+        store.vacuum()
+        return store.scan().select(F.col("key").cast("string").alias("key"), "seq", F.col("value").cast("string").alias("value"))
+
+
+@_register(
+    "store_custom_order",
+    "SELECT user_id AS number, event_id + 1 AS seq, props AS value FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'",
+    base=False,
+)
+def store_custom_order(spark, d):
+    """Numbers in brackets, decimal and hexadecimal by turns, with deletions; compacted after each half."""
+    e = _t(spark, d, "events")
+    put, n = F.col("event_type") != "error", F.col("user_id")
+    key = F.when(F.col("event_id") % 2 == 0, F.format_string("[%d]", n)).otherwise(F.format_string("[0x%x]", n))
+    m = e.select(key.alias("key"), (F.col("event_id") + 1).alias("seq"), put.cast("int").alias("op"), F.when(put, F.col("props")).alias("value"))
+    half = _half(m)
+    with _store(spark, comparator="bracketed_number") as store:
+        for part in (F.col("seq") <= half, F.col("seq") > half):
+            store.ingest(m.where(part))
+            store.compact()
+        return store.scan().select(store.order(F.col("key")).alias("number"), "seq", F.col("value").cast("string").alias("value"))
+
+
+@_register("store_level_entries", "SELECT 1 AS level, count(*) AS n_entries FROM l")
+def store_level_entries(spark, d):
+    """Entries by level after a whole compaction, from the manifest."""
+    with _store(spark) as store:
+        store.ingest(mutations(spark, d))
+        store.compact()
+        return store.files().groupBy("level").agg(F.sum("num_entries").alias("n_entries"))
+
+
+@_register("fill_batch", "SELECT printf('%016d', event_id % 997) AS key, event_id + 1 AS seq, props AS value FROM events QUALIFY row_number() OVER (PARTITION BY event_id % 997 ORDER BY event_id DESC) = 1", base=False)
+def fill_batch(spark, d):
+    """Every event put, a thousand to a batch; what is live then."""
+    e, n = _t(spark, d, "events"), F.col("event_id")
+    ops = e.select(F.floor(n / 1000).alias("batch_id"), (n % 1000).alias("pos"), F.lit(1).alias("op"), padded(n % 997).alias("key"), F.col("props").alias("value"))
+    return read.visible(mutate.batch_mutations(ops, 1))
+
+
+@_register("fill_random", "SELECT key, seq, value FROM (SELECT printf('%016d', user_id) AS key, row_number() OVER (ORDER BY md5(CAST(event_id AS VARCHAR))) AS seq, props AS value FROM events) QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1", base=False)
+def fill_random(spark, d):
+    """Every event put in a random order; what is live then."""
+    e = _t(spark, d, "events")
+    ops = e.select(F.md5(F.col("event_id").cast("string")).alias("pos"), F.lit(1).alias("op"), padded(F.col("user_id")).alias("key"), F.col("props").alias("value"))
+    return read.visible(mutate.batch_mutations(ops, 1, ("pos",)))
+
+
+@_register("fill_large", "SELECT printf('%016d', CAST(s_suppkey AS BIGINT)) AS key, CAST(100000 AS BIGINT) AS n_bytes, md5(rpad(s_name, 100000, s_name)) AS digest FROM supplier", base=False)
+def fill_large(spark, d):
+    """Values of 100,000 bytes, one a supplier, written to a store and read back."""
+    s = _t(spark, d, "supplier")
+    big = F.rpad("s_name", 100_000, F.col("s_name"))
+    with _store(spark) as store:
+        store.ingest(s.select(padded(F.col("s_suppkey").cast("long")).alias("key"), (F.col("s_suppkey") + 1).alias("seq"), F.lit(1).alias("op"), big.alias("value")))
+        return store.scan().select(F.col("key").cast("string").alias("key"), F.octet_length("value").cast("long").alias("n_bytes"), F.md5("value").alias("digest"))
+
+
+@_register("delete_seq", "SELECT l.* FROM l WHERE key > (SELECT quantile_disc(key, 0.5) FROM l)")
+def delete_seq(spark, d):
+    """The lower half of the live keys deleted in key order."""
+    m = mutations(spark, d)
+    live = read.visible(m).select("key")
+    middle = (live.count() + 1) // 2
+    ranked = mutate.number_rows(live, ["key"], 1)
+    drops = ranked.where(F.col("seq") <= middle).select("key", (F.col("seq") + read.last_sequence(m)).alias("seq"), F.lit(0).alias("op"), F.lit(None).cast("string").alias("value"))
+    return read.visible(m.unionByName(drops))
+
+
+@_register("read_random_small", "SELECT s.key, l.seq, l.value FROM (SELECT DISTINCT printf('%016d', CAST(s_suppkey AS BIGINT)) AS key FROM supplier) s LEFT JOIN l USING (key)")
+def read_random_small(spark, d):
+    """A small set of random gets, one a supplier."""
+    asks = _t(spark, d, "supplier").select(padded(F.col("s_suppkey").cast("long")).alias("key"))
+    return read.multi_get(mutations(spark, d), asks, keep_missing=True)
+
+
+@_register("crc32c", None)
+def checksums(spark, d):
+    """The checksum of every event's properties."""
+
+    @F.arrow_udf("long")
+    def checksum(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else crc32c(x.encode()) for x in column.to_pylist()], pa.int64())
+
+    return _t(spark, d, "events").select("event_id", checksum("props").alias("crc"))
