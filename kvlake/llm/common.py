@@ -99,7 +99,7 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(column: pa.Array, max_bytes: int = 1_000_000):
+def slices(column: pa.Array, max_bytes: int = 250_000):
     """Consecutive slices of a string column of about ``max_bytes`` each (one value at least)."""
     column = column.cast(pa.large_string())
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)

@@ -71,9 +71,10 @@ def line_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     line = np.searchsorted(starts, words, side="right") - 1
     n_words = np.bincount(line, minlength=len(starts))
     if len(words):
-        nth = np.cumsum(begin, dtype=np.int64) - 1
-        place = np.arange(len(data)) - words[np.maximum(nth, 0)]
-        value = _MULT[data] * (np.uint64(2) * place.astype(np.uint64) + np.uint64(3))
+        place = np.arange(len(data), dtype=np.int64)
+        place[words[0] :] -= np.repeat(words, np.diff(words, append=len(data)))
+        value = _MULT[data] * (np.uint64(2) * place.view(np.uint64) + np.uint64(3))
+        del place
         value[blank == 1] = 0
         value[: words[0]] = 0
         hashed = np.add.reduceat(value, words)

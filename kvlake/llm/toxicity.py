@@ -20,7 +20,7 @@ The model is fitted on the driver from at most ``train_rows`` labelled documents
 or one of punctuation only, scores 0; ties and repeated rows score alike, in whatever batch they come;
 labels other than 0 and 1 are ignored, and so is an id labelled both ways; without labels of both
 classes every score is below 1e-20; an empty table gives an empty result. Only the text enters a score,
-whatever other columns are named. Texts are scored in slices of 1 MB; a longer one is a slice of its own.
+whatever other columns are named. Texts are scored in slices of 250 KB; a longer one is a slice of its own.
 """
 
 from __future__ import annotations
