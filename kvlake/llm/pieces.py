@@ -44,6 +44,7 @@ from kvlake.llm.common import bounded_batches, checkpoint, fresh, give_back, sli
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK, SPACE, NONE = 65_536, "▁", -float("inf")
 _WORDS_KEPT, _PAIRS_KEPT = 250_000, 600_000
+LEARN_BYTES = 1_000_000  # of text whose words are solved together: the more, the more beginnings they share
 _SPANS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*|[^{SPACE}\n]+")
 State = tuple[int, int]  # characters of the piece before the cut and after it
 START, END = (0, 0), (0, 0)
@@ -393,6 +394,19 @@ def _lists(parts: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([p is None for p in parts]) if parts else None)
 
 
+def encode_all(model: Pieces, column: pa.Array) -> tuple[list[np.ndarray | None], list[bool | None]]:
+    """Ids of each text of a column as one chunk, and whether decoding gives it back."""
+    ids, exact = [], []
+    for part in slices(column, LEARN_BYTES):
+        texts = part.to_pylist()
+        words = [model.split(x) if x else [] for x in texts]
+        model.learn(words)
+        for x, split in zip(texts, words, strict=True):
+            ids.append(None if x is None else model.encode(x, split))
+            exact.append(None if x is None else model.decode(ids[-1].tolist()) == x)
+    return ids, exact
+
+
 def encode_column(text: Column, proto: bytes) -> Column:
     """struct<ids: array<int>, exact: boolean>: ids of a text as one chunk, and whether decoding gives
     it back."""
@@ -402,14 +416,7 @@ def encode_column(text: Column, proto: bytes) -> Column:
     def encode_pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load(proto)
         for column in columns:
-            ids, exact = [], []
-            for part in slices(column):
-                texts = part.to_pylist()
-                words = [model.split(x) if x else [] for x in texts]
-                model.learn(words)
-                for x, split in zip(texts, words, strict=True):
-                    ids.append(None if x is None else model.encode(x, split))
-                    exact.append(None if x is None else model.decode(ids[-1].tolist()) == x)
+            ids, exact = encode_all(model, column)
             yield pa.StructArray.from_arrays([_lists(ids), pa.array(exact, pa.bool_())], ["ids", "exact"])
             give_back()
         model.forget()

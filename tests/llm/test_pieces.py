@@ -105,3 +105,15 @@ def test_refused_models():
 def test_query(spark):
     rows = P.query(spark, SF).collect()
     assert len(rows) == 200 and all(r["exact"] and r["n_tokens"] == len(r["ids"]) for r in rows)
+
+
+def test_many_words_are_solved_together(monkeypatch):
+    import pyarrow as pa
+
+    rng, model, calls = random.Random(5), P.Pieces(PROTO), []
+    learn = model.learn
+    monkeypatch.setattr(model, "learn", lambda words: (calls.append(len(words)), learn(words)))
+    rows = [" ".join("".join(rng.choice("theaingos") for _ in range(5)) for _ in range(50)) for _ in range(3000)] + [None, ""]
+    ids, exact = P.encode_all(model, pa.array(rows))
+    assert len(calls) == 1 and [x.tolist() for x in ids[:-2]] == LIB.encode(rows[:-2]) and all(exact[:-2])
+    assert ids[-2] is None and exact[-2] is None and len(ids[-1]) == 0
