@@ -149,13 +149,15 @@ _READ = "struct<base: array<struct<kind: int, start: int, end: int>>, seen: arra
 
 
 def read_spans(text: Column) -> Column:
+    """Not deterministic to the planner: a filter on what was read would otherwise read every text a second time, in a second
+    worker process of each task."""
     bounded_batches()
 
     @F.arrow_udf(_READ)
     def pii_read(column: pa.Array) -> pa.Array:
         return pa.array([read_text(x.as_py()) for x in column], pa.struct([("base", pa.list_(_SPAN)), ("seen", pa.list_(_SEEN))]))
 
-    return pii_read(text)
+    return pii_read.asNondeterministic()(text)
 
 
 def learn_patterns(seen: DataFrame, min_seeds: int = MIN_SEEDS, min_worth: float = MIN_WORTH) -> DataFrame:
