@@ -3,9 +3,11 @@
 Vectors are lifted so that the largest inner product is the smallest distance (see ``vectors``). A
 block of rows is bulk-loaded into an M-tree: every node has a pivot, the covering radius of all rows
 below it, and its distance to its parent's pivot; a leaf is a page of rows, each with its distance
-to the page's pivot. A query opens nodes in the order of their least possible distance. Before a
-distance is computed, the stored ones bound it by the triangle inequality, |d(q, p) - d(x, p)| <=
-d(q, x): children and rows that cannot enter the k best are never compared. Scores are exact integer
+to the page's pivot. The queries of a block go through a tree together: those without a floor first go
+down to their nearest page, then nodes are opened in the order of their least possible distance to any
+query, by the queries that still reach them. Before a distance is computed, the stored ones bound it by
+the triangle inequality, |d(q, p) - d(x, p)| <= d(q, x): children and rows that cannot enter the k best
+of any of these queries are never compared. Scores are exact integer
 inner products; bounds carry a slack for rounding, so nothing that could tie is cut off.
 
 The cells that rows are dealt to are the top level: each has a centre and a covering radius. A query goes
@@ -112,40 +114,65 @@ class Searcher:
         return self.best()
 
     def feed(self, tree: Tree) -> None:
-        tops = np.sqrt(np.maximum(self.base[:, None] - self.top_sq + (tree.pivot**2).sum(axis=1)[None, :1] - 2 * self.lifted @ tree.pivot[:1].T, 0))[:, 0]
-        rows = tree.rows.astype(self.exact)
-        for q in range(len(self.queries)):
-            self._one(q, tree, rows, float(tops[q]))
-
-    def _reach(self, q: int) -> float:
-        """Distances beyond this cannot enter the k best."""
-        floor = self.best_of.floor(q)
-        return np.inf if floor is None else float(np.sqrt(max(self.base[q] - 2.0 * float(floor), 0))) + self.slack
-
-    def _one(self, q: int, tree: Tree, rows: np.ndarray, top: float) -> None:
-        point, reach = self.lifted[q], self._reach(q)
-        heap = [(max(top - tree.radius[0], 0.0), 0, top)]
+        """All queries go through the tree together: a node is opened once, by those that still reach it."""
+        rows, every = tree.rows.astype(self.exact), np.arange(len(self.queries))
+        self.pivot_sq, self.reach = (tree.pivot**2).sum(axis=1), self._reach(every)
+        top, home = self._away(tree, every, slice(0, 1))[:, 0], np.full(len(every), -1)
+        lost = np.flatnonzero(np.isinf(self.reach))  # without a floor yet: each goes down to its nearest page first
+        stack = [(0, lost, top[lost])] if len(lost) else []
+        while stack:
+            node, q, d = stack.pop()
+            if tree.leaf[node]:
+                home[q] = node
+                self._compare(tree, rows, node, q, d)
+                continue
+            first, last = tree.span[node]
+            away = self._away(tree, q, slice(first, last))
+            near = away.argmin(axis=1)
+            for i in np.unique(near).tolist():
+                stack.append((first + i, q[near == i], away[near == i, i]))
+        if not len(every):
+            return
+        least = np.maximum(top - tree.radius[0], 0)
+        heap, pushed = [(float(least.min()), 0, 0, every, top, least)], 0
         while heap:
-            least, node, d = heapq.heappop(heap)
-            if least > reach:
-                break
-            a, b = tree.span[node]
+            _, _, node, q, d, least = heapq.heappop(heap)
+            still = (least <= self.reach[q]) & (home[q] != node)
+            q, d = q[still], d[still]
+            if not len(q):
+                continue
             if tree.leaf[node]:
-                near = np.flatnonzero(np.abs(d - tree.to_pivot[a:b]) <= reach) + a
-                near = near[tree.ids[near] != self.query_ids[q]]
-                if len(near):
-                    self.compared += len(near)
-                    self.best_of.add(q, tree.ids[near], (rows[near] @ self.queries[q]).astype(np.int64))
-                    reach = self._reach(q)
+                self._compare(tree, rows, node, q, d)
                 continue
-            radius = tree.radius[a:b]
-            near = np.flatnonzero(np.abs(d - tree.to_parent[a:b]) - radius <= reach)
-            if len(near):
-                self.compared += len(near)
-                away = _distances(tree.pivot[a + near], point)
-                for i, x, low in zip((near + a).tolist(), away.tolist(), np.maximum(away - radius[near], 0).tolist(), strict=True):
-                    if low <= reach:
-                        heapq.heappush(heap, (low, i, x))
+            first, last = tree.span[node]
+            reach, radius = self.reach[q][:, None], tree.radius[first:last]
+            some = np.flatnonzero((np.abs(d[:, None] - tree.to_parent[first:last]) - radius <= reach).any(axis=0))
+            self.compared += len(q) * len(some)
+            away = self._away(tree, q, first + some)
+            low = np.maximum(away - radius[some], 0)
+            for j, i in enumerate((first + some).tolist()):
+                if (near := low[:, j] <= reach[:, 0]).any():
+                    pushed += 1
+                    heapq.heappush(heap, (float(low[near, j].min()), pushed, i, q[near], away[near, j], low[near, j]))
+
+    def _reach(self, q: np.ndarray) -> np.ndarray:
+        """Distances beyond these cannot enter the k best of the queries ``q``."""
+        return np.sqrt(np.maximum(self.base[q] - 2.0 * self.best_of.floor(q), 0)) + self.slack
+
+    def _away(self, tree: Tree, q: np.ndarray, nodes) -> np.ndarray:
+        """Distances of queries to the pivots of nodes."""
+        return np.sqrt(np.maximum((self.base[q] - self.top_sq)[:, None] + self.pivot_sq[nodes] - 2 * self.lifted[q] @ tree.pivot[nodes].T, 0))
+
+    def _compare(self, tree: Tree, rows: np.ndarray, node: int, q: np.ndarray, d: np.ndarray) -> None:
+        """Scores of the page's rows that one of the queries may still need."""
+        a, b = tree.span[node]
+        near = np.flatnonzero((np.abs(d[:, None] - tree.to_pivot[a:b]) <= self.reach[q][:, None]).any(axis=0)) + a
+        self.compared += len(q) * len(near)
+        scores = (self.queries[q] @ rows[near].T).astype(np.int64)
+        i, j = np.nonzero((scores >= self.best_of.floor(q)[:, None]) & (tree.ids[near] != self.query_ids[q][:, None]))
+        if len(i):
+            self.best_of.add(q[i], tree.ids[near[j]], scores[i, j])
+            self.reach[q] = self._reach(q)
 
     def best(self):
         return self.best_of.rows(self.query_ids)

@@ -204,22 +204,20 @@ class Best:
         self.full = np.zeros(n, np.int64)
         self.floors = np.full(n, -np.inf) if floors is None else floors
 
-    def floor(self, q: int):
-        """The score that a row has to reach, or None while any will do."""
-        if self.full[q] >= self.k:
-            return max(self.scores[q, -1], self.floors[q])
-        return None if self.floors[q] == -np.inf else self.floors[q]
-
-    def add(self, q: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if (floor := self.floor(q)) is not None:
-            keep = scores >= floor
-            ids, scores = ids[keep], scores[keep]
-        if len(ids):
-            n = int(self.full[q])
-            i, s = np.concatenate((self.ids[q, :n], ids)), np.concatenate((self.scores[q, :n], scores))
-            order = np.lexsort((i, -s))[: self.k]
-            self.full[q] = len(order)
-            self.ids[q, : len(order)], self.scores[q, : len(order)] = i[order], s[order]
+    def floor(self, q: np.ndarray) -> np.ndarray:
+        """The scores that a row has to reach for the queries ``q``, minus infinity while any will do."""
+        return np.where(self.full[q] >= self.k, np.maximum(self.scores[q, -1].astype(np.float64), self.floors[q]), self.floors[q])
+
+    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Rows (query number, id, score), of any queries."""
+        own = np.unique(q)
+        there = np.arange(self.k)[None, :] < self.full[own][:, None]
+        q, ids, scores = np.concatenate((np.repeat(own, self.full[own]), q)), np.concatenate((self.ids[own][there], ids)), np.concatenate((self.scores[own][there], scores))
+        kept = top_rows(q, ids, scores, self.k)
+        by = q[kept]
+        place = np.arange(len(by)) - np.searchsorted(by, by, side="left")
+        self.ids[by, place], self.scores[by, place] = ids[kept], scores[kept]
+        self.full[own] = np.bincount(by, minlength=len(self.full))[own]
 
     def rows(self, query_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         there = np.arange(self.k)[None, :] < self.full[:, None]

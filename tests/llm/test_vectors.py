@@ -54,6 +54,20 @@ def test_tree_bounds_avoid_work():
     assert s.compared < 0.5 * 40 * 4000
 
 
+def test_queries_go_through_a_tree_together(monkeypatch):
+    """On vectors spread evenly, where no bound helps, each page is met by the queries at once and not one by one."""
+    x = np.random.default_rng(3).normal(size=(1500, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    ids, top, calls, add = np.arange(1500), float((x * x).sum(axis=1).max()), [], V.Best.add
+    monkeypatch.setattr(V.Best, "add", lambda self, *a: calls.append(1) or add(self, *a))
+    tree, want = M.load(ids, x, top), slow(ids.tolist(), x, range(200), 5)
+    for floors in (None, np.array([float(want[q][-1][1]) for q in range(200)])):
+        calls.clear()
+        q, v, score = M.Searcher(ids[:200], x[:200], top, 5, floors)(tree)
+        assert [(a, b) for a, b in zip(v.tolist(), score.tolist())] == [p for i in range(200) for p in want[i]]
+        assert 0 < len(calls) <= 2 * sum(tree.leaf) < 200
+
+
 def test_tree_invariants():
     x = np.floor(256 * cloud(1500, 6).astype(np.float64)).astype(np.int64)
     top = float((x * x).sum(axis=1).max())
