@@ -56,7 +56,7 @@ class _Words(dict):
 
     def __init__(self, solve, prefix: str):
         super().__init__()
-        self.solve, self.prefix, self.old = solve, prefix, {}
+        self.solve, self.prefix, self.old, self.kept = solve, prefix, {}, _WORDS_KEPT
 
     def __missing__(self, word: str) -> bytes:
         if (found := self.old.get(word)) is None:
@@ -66,7 +66,7 @@ class _Words(dict):
         return found
 
     def put(self, word: str, found: bytes) -> None:
-        if len(self) >= _WORDS_KEPT:
+        if len(self) >= self.kept:
             self.old = dict(self)
             self.clear()
         self[word] = found
@@ -394,10 +394,10 @@ def _lists(parts: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array([p is None for p in parts]) if parts else None)
 
 
-def encode_all(model: Pieces, column: pa.Array) -> tuple[list[np.ndarray | None], list[bool | None]]:
+def encode_all(model: Pieces, column: pa.Array, learn: int | None = None) -> tuple[list[np.ndarray | None], list[bool | None]]:
     """Ids of each text of a column as one chunk, and whether decoding gives it back."""
     ids, exact = [], []
-    for part in slices(column, LEARN_BYTES):
+    for part in slices(column, learn or LEARN_BYTES):
         texts = part.to_pylist()
         words = [model.split(x) if x else [] for x in texts]
         model.learn(words)
@@ -407,16 +407,17 @@ def encode_all(model: Pieces, column: pa.Array) -> tuple[list[np.ndarray | None]
     return ids, exact
 
 
-def encode_column(text: Column, proto: bytes) -> Column:
+def encode_column(text: Column, proto: bytes, learn: int | None = None, kept: int | None = None) -> Column:
     """struct<ids: array<int>, exact: boolean>: ids of a text as one chunk, and whether decoding gives
-    it back."""
+    it back. ``learn`` bytes are solved together and ``kept`` words held at once; less is slower and takes less memory."""
     bounded_batches()
 
     @F.arrow_udf("struct<ids: array<int>, exact: boolean>")
     def encode_pieces(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = load(proto)
+        model.words.kept = model.spans.kept = kept or _WORDS_KEPT
         for column in columns:
-            ids, exact = encode_all(model, column)
+            ids, exact = encode_all(model, column, learn)
             yield pa.StructArray.from_arrays([_lists(ids), pa.array(exact, pa.bool_())], ["ids", "exact"])
             give_back()
         model.forget()
@@ -441,11 +442,12 @@ _STATE = "struct<b: int, a: int>"
 _CELLS = f"array<struct<s: {_STATE}, e: {_STATE}, w: double>>"
 
 
-def encode(docs: DataFrame, proto: bytes, text: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with two more columns, ids (array of int) and exact (decoding gives the text back)."""
+def encode(docs: DataFrame, proto: bytes, text: str = "text", chunk: int = CHUNK, learn: int | None = None, kept: int | None = None) -> DataFrame:
+    """``docs`` with two more columns, ids (array of int) and exact (decoding gives the text back). ``learn`` and ``kept``
+    are those of ``encode_column`` and change no id."""
     names = {k: fresh(docs, k) for k in ("ids", "exact")}
     size = F.coalesce(F.length(text), F.lit(0))
-    done = docs.where(size <= chunk).withColumn("_t", encode_column(F.col(text), proto))
+    done = docs.where(size <= chunk).withColumn("_t", encode_column(F.col(text), proto, learn, kept))
     done = done.select(*docs.columns, F.col("_t.ids").alias(names["ids"]), F.col("_t.exact").alias(names["exact"]))
     key, giant = fresh(docs, "giant_key"), docs.where(size > chunk)
     coded = _encode_giants(giant.select(F.col(text).alias("text")), proto, chunk)

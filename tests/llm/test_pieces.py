@@ -117,3 +117,9 @@ def test_many_words_are_solved_together(monkeypatch):
     ids, exact = P.encode_all(model, pa.array(rows))
     assert len(calls) == 1 and [x.tolist() for x in ids[:-2]] == LIB.encode(rows[:-2]) and all(exact[:-2])
     assert ids[-2] is None and exact[-2] is None and len(ids[-1]) == 0
+
+
+def test_few_words_held_give_the_same_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    many, few = ({r["doc_id"]: (r["ids"], r["exact"]) for r in P.encode(docs, PROTO, **more).collect()} for more in ({}, {"learn": 20_000, "kept": 50}))
+    assert many == few and len(few) == 200
