@@ -28,6 +28,8 @@ from kvlake.schema import FILE_META, LEVELS, MAX_SEQUENCE, MUTATION, PUT
 from kvlake.sources import wal
 
 BUFFER_BYTES, WHOLE_EVERY = 4 << 20, 64
+#: Spark's Parquet reader holds so many entries of a row group at once. Where these could take more bytes, row groups get fewer.
+READ_ROWS, READ_BYTES = 4096, 32 << 20
 #: Object stores whose rename overwrites, so that two writers could both believe to be first.
 NOT_EXCLUSIVE = frozenset("s3 s3a s3n gs wasb wasbs oss cosn obs".split())
 
@@ -266,18 +268,24 @@ class Store:
                 return found
             lo, hi = grown
 
-    def _write_run(self, muts: DataFrame, level: int, version: Version, cuts: list[bytes] = [], entry_bytes: float = 0.0) -> list[dict]:  # noqa: B006
+    def _write_run(self, muts: DataFrame, level: int, version: Version, cuts: list[bytes] = [], entry_bytes: float = 0.0, largest: int | None = None) -> list[dict]:  # noqa: B006
         """Write mutations as a sorted run; its part files' metadata. No file holds keys on both sides of a cut (a key that
-        begins a file), nor, where the mean size of an entry is known, much over ``FILE_BYTES``."""
+        begins a file), nor, where the mean size of an entry is known, much over ``FILE_BYTES``. ``largest`` is a bound on the
+        bytes of an entry's key and value; it is looked up where it isn't known."""
         folder, by = f"data/{version.next_file:08d}-{uuid4().hex[:8]}", self.order(F.col("key"))
         dealt = muts.select(F.col("key").cast("binary").alias("key"), F.col("seq").cast("long").alias("seq"), F.col("op").cast("tinyint").alias("op"), F.col("value").cast("binary").alias("value"))
+        if largest is None:
+            largest = dealt.agg(F.max(F.octet_length("key").cast("long") + F.coalesce(F.octet_length("value"), F.lit(0)))).first()[0] or 0
         dealt = dealt.repartitionByRange(by.alias("by")).withColumn("cut", F.lit(0) if not cuts else F.size(F.filter(F.array(*[self.order(F.lit(c)) for c in cuts]), lambda c: c <= by)))
         dealt = dealt.sortWithinPartitions("cut", by, F.desc("seq"))
         writer = dealt.write if cuts else dealt.drop("cut").write
         if entry_bytes:
             writer = writer.option("maxRecordsPerFile", max(1, int(compact.FILE_BYTES / entry_bytes)))
+        if largest * READ_ROWS > READ_BYTES:
+            rows = max(1, READ_BYTES // largest)
+            writer = writer.option("parquet.block.row.count.limit", rows).option("parquet.bloom.filter.expected.ndv#key", rows)
         (writer.partitionBy("cut") if cuts else writer).option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{folder}")
-        return self._describe([f"{self.path}/{folder}"], level, version)
+        return [f | {"largest_entry": largest} for f in self._describe([f"{self.path}/{folder}"], level, version)]
 
     def _describe(self, paths: list[str], level: int, version: Version) -> list[dict]:
         got, by = self.spark.read.schema(MUTATION).parquet(*paths), self.order(F.col("key"))
@@ -352,7 +360,7 @@ class Store:
         if rows:
             self._buffer = []
             try:
-                self.ingest(self.spark.createDataFrame([(bytearray(k), q, o, None if v is None else bytearray(v)) for k, q, o, v in rows], MUTATION).coalesce(1))
+                self.ingest(self.spark.createDataFrame([(bytearray(k), q, o, None if v is None else bytearray(v)) for k, q, o, v in rows], MUTATION).coalesce(1), max(len(k) + len(v or b"") for k, _, _, v in rows))
             except BaseException:
                 self._buffer = rows
                 raise
@@ -361,14 +369,14 @@ class Store:
             self._fs.delete(f"log/{name}")
         return len(rows)
 
-    def ingest(self, muts: DataFrame) -> int:
-        """Add numbered mutations (key, seq, op, value) as a run."""
+    def ingest(self, muts: DataFrame, largest: int | None = None) -> int:
+        """Add numbered mutations (key, seq, op, value) as a run. ``largest``: a bound on the bytes of an entry, where it is known."""
         self._live()
         if self._buffer:
             self.flush()
         new = self._next()
         began = time.time()
-        made = self._write_run(muts, 0, new)
+        made = self._write_run(muts, 0, new, largest=largest)
         if made:
             level = self._run_level(*self._bounds(made))
             new.files += [f | {"level": level} for f in made]
@@ -517,7 +525,8 @@ class Store:
         kept = compact.retained_over(self.mutations(files=used), self.smallest_snapshot(), deeper, self.order).select("key", "seq", "op", "value")
         new.files = [f for f in new.files if f["number"] not in gone]
         read_bytes, entries = self._size(used), sum(f["num_entries"] for f in used)
-        made = self._write_run(kept, level, new, cuts, read_bytes / max(entries, 1))
+        sizes = [f.get("largest_entry") for f in used]  # not known of files from a repair
+        made = self._write_run(kept, level, new, cuts, read_bytes / max(entries, 1), None if None in sizes else max(sizes))
         new.files += made
         _account(new, level, time.time() - began, read_bytes, self._size(made))
         self._commit(new)

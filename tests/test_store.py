@@ -1,7 +1,9 @@
 import json
 import random
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from kvlake.functions.keys import ORDERS
 from kvlake.operators import compact
@@ -251,3 +253,36 @@ def test_cuts_and_levels(spark, path, monkeypatch):
 
 def test_stores_without_exclusive_files_are_refused(spark):
     assert "s3a" in store_module.NOT_EXCLUSIVE and "hdfs" not in store_module.NOT_EXCLUSIVE
+
+
+def test_readers_never_hold_many_large_entries_at_once(spark, path):
+    """Spark's reader takes up to 4,096 entries of a row group together: of 1 MB each, 60 were in one row group."""
+    big, most = 1 << 20, (32 << 20) // (1 << 20)
+
+    def rows_at_once(s):
+        groups = [pq.ParquetFile(f"{path}/{f['path']}").metadata for f in s.version.files]
+        return max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups))
+
+    def sizes(s):
+        return [(bytes(r["key"]), r["n"]) for r in s.scan().select("key", F.octet_length("value").alias("n")).collect()]
+
+    rows = spark.range(60).select(F.format_string("%02d", "id").alias("key"), (F.col("id") + 1).alias("seq"), F.lit(1).alias("op"), F.rpad(F.col("id").cast("string"), big, "ab").alias("value"))
+    want = [(b"%02d" % i, big) for i in range(60)]
+    with Store.open(spark, path, create_if_missing=True, buffer_bytes=64 << 20) as s:
+        s.ingest(rows.coalesce(1))
+        assert rows_at_once(s) < most and sizes(s) == want
+        s.compact()
+        assert rows_at_once(s) < most and sizes(s) == want
+        s.write(Batch([(1, b"%02d" % i, b"y" * big) for i in range(40)]))
+        assert s.flush() == 40 and rows_at_once(s) < most and sizes(s) == want
+    with Store.repair(spark, path) as s:
+        s.compact()
+        assert rows_at_once(s) < most and sizes(s) == want
+
+
+def test_small_entries_keep_large_row_groups(spark, path):
+    rows = spark.range(9000).select(F.format_string("%05d", "id").alias("key"), (F.col("id") + 1).alias("seq"), F.lit(1).alias("op"), F.lit("v").alias("value"))
+    with Store.open(spark, path, create_if_missing=True) as s:
+        s.ingest(rows.coalesce(1))
+        assert all(pq.ParquetFile(f"{path}/{f['path']}").metadata.num_row_groups == 1 for f in s.version.files)
+        assert {f["largest_entry"] for f in s.version.files} == {6}
