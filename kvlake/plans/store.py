@@ -28,7 +28,7 @@ from kvlake.schema import FILE_META, LEVELS, MAX_SEQUENCE, MUTATION, PUT
 from kvlake.sources import wal
 
 BUFFER_BYTES, WHOLE_EVERY = 4 << 20, 64
-#: Spark's Parquet reader holds so many entries of a row group at once. Where these could take more bytes, row groups get fewer.
+#: Spark's Parquet reader holds so many entries of a row group at once. Where these could take more bytes, row groups end by bytes.
 READ_ROWS, READ_BYTES = 4096, 32 << 20
 #: Object stores whose rename overwrites, so that two writers could both believe to be first.
 NOT_EXCLUSIVE = frozenset("s3 s3a s3n gs wasb wasbs oss cosn obs".split())
@@ -55,6 +55,16 @@ def _account(version: Version, level: int, seconds: float, read_bytes: int, writ
     version.stats[str(level)] = [have[0] + seconds, have[1] + read_bytes, have[2] + written]
 
 
+def _ended_by_bytes(largest: int) -> dict[str, object]:
+    """Parquet's options for row groups of about ``READ_BYTES`` before compression, where an entry has ``largest`` bytes at most.
+    Parquet counts what is in pages as compressed and what is not yet as it is, so pages don't end before their row group."""
+    every = max(1, READ_BYTES // 4 // largest)  # entries between two looks at the bytes
+    return {
+        "parquet.block.size": READ_BYTES * 3 // 4, "parquet.page.size": READ_BYTES * 2, "parquet.page.size.row.check.min": every, "parquet.page.size.row.check.max": every,
+        "parquet.bloom.filter.adaptive.enabled": "true",
+    }
+
+
 class _Fs:
     """The few file operations a store needs, on file systems where a file can be made exclusively."""
 
@@ -282,8 +292,7 @@ class Store:
         if entry_bytes:
             writer = writer.option("maxRecordsPerFile", max(1, int(compact.FILE_BYTES / entry_bytes)))
         if largest * READ_ROWS > READ_BYTES:
-            rows = max(1, READ_BYTES // largest)
-            writer = writer.option("parquet.block.row.count.limit", rows).option("parquet.bloom.filter.expected.ndv#key", rows)
+            writer = writer.options(**_ended_by_bytes(largest))
         (writer.partitionBy("cut") if cuts else writer).option("parquet.bloom.filter.enabled#key", "true").parquet(f"{self.path}/{folder}")
         return [f | {"largest_entry": largest} for f in self._describe([f"{self.path}/{folder}"], level, version)]
 

@@ -286,3 +286,12 @@ def test_small_entries_keep_large_row_groups(spark, path):
         s.ingest(rows.coalesce(1))
         assert all(pq.ParquetFile(f"{path}/{f['path']}").metadata.num_row_groups == 1 for f in s.version.files)
         assert {f["largest_entry"] for f in s.version.files} == {6}
+
+
+def test_one_large_entry_leaves_the_others_together(spark, path):
+    value = F.when(F.col("id") == 9000, F.rpad(F.lit("x"), 9 << 20, "ab")).otherwise("v")
+    rows = spark.range(18000).select(F.format_string("%05d", "id").alias("key"), (F.col("id") + 1).alias("seq"), F.lit(1).alias("op"), value.alias("value"))
+    with Store.open(spark, path, create_if_missing=True) as s:
+        s.ingest(rows.coalesce(1))
+        groups = [pq.ParquetFile(f"{path}/{f['path']}").metadata.num_row_groups for f in s.version.files]
+        assert sum(groups) <= len(groups) + 1 and s.scan().agg(F.sum(F.octet_length("value"))).first()[0] == (9 << 20) + 17999
